@@ -245,16 +245,13 @@ def with_category(rows: DataFrame, category_overrides: DataFrame | None = None,
     )
 
 
-def signed_category(amount: Column, merchant: Column, description: Column, override: Column | None = None) -> Column:
-    """Category of a row by its sign: a credit keeps a spending category, else is income or a one-time deposit."""
-    found = category_of(merchant, description)
-    name, confidence = found["category"], found["category_confidence"]
-    credit = (
-        F.when(name.isin(categories.REFUNDABLE) & (confidence > 0), name)
-        .when((name == "income") & (confidence > 0.5), name)
-        .otherwise(F.lit("one_time_deposit"))
-    )
-    by_rule = F.when(amount > 0, credit).otherwise(name)
+def signed_category(amount: Column, found: Column, override: Column | None = None) -> Column:
+    """Category of a row by its sign: a credit keeps a spending category, else is income or a one-time deposit.
+
+    `found` is the category by rule; a rule that hits is always sure enough.
+    """
+    kept = found.isin(categories.REFUNDABLE) | (found == "income")
+    by_rule = F.when((amount <= 0) | kept, found).otherwise(F.lit("one_time_deposit"))
     if override is None:
         return by_rule
     return F.when(override.isin(categories.CATEGORIES), override).otherwise(by_rule)

@@ -53,11 +53,16 @@ def pair_candidates(
     keys: Sequence[str] = KEYS,
     words=has_transfer_words,
 ) -> DataFrame:
+    """Candidates of a ledger, see lot_candidates."""
+    return lot_candidates(_legs(ledger, keys, words), tolerance_days, tolerance_cents, keys)
+
+
+def lot_candidates(legs: DataFrame, tolerance_days: int, tolerance_cents: int, keys: Sequence[str]) -> DataFrame:
     """Lots of outflows and inflows close in date and amount, on different accounts of one ledger.
 
     Joined on bands of days and cents, so a lot meets a bounded neighbourhood.
     """
-    out, into = _lots(_legs(ledger, keys, words), keys)
+    out, into = _lots(legs, keys)
     day_width, cent_width = 2 * tolerance_days + 1, 2 * tolerance_cents + 1
     out = out.withColumn("day_band", band(day_number(F.col("out_posted_at")), day_width)).withColumn(
         "cent_band", band(F.col("out_cents"), cent_width)
@@ -132,8 +137,9 @@ def transfer_pairs(
     ledger: DataFrame, tolerance_days: int = 3, tolerance_cents: int = 300, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """One row per pair: both fingerprints and accounts, amounts, confidence and reason."""
-    found = scored(pair_candidates(ledger, tolerance_days, tolerance_cents, keys), tolerance_days, tolerance_cents)
-    rows = _pair_rows(found, F.col("score"), _legs(ledger, keys, has_transfer_words))
+    legs = cut_lineage(_legs(ledger, keys, has_transfer_words))
+    found = scored(lot_candidates(legs, tolerance_days, tolerance_cents, keys), tolerance_days, tolerance_cents)
+    rows = _pair_rows(found, F.col("score"), legs)
     return rows.select(
         *keys,
         F.substring(F.sha2(F.concat_ws("|", *keys, "proposer_row", "partner_row"), 256), 1, 16).alias("pair_id"),
@@ -151,10 +157,9 @@ def first_fit_pairs(
     ledger: DataFrame, tolerance_days: int = 3, tolerance_cents: int = 100, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Fingerprints of pairs by the simple rule: the first free inflow in date order, one side worded like a transfer."""
-    found = pair_candidates(ledger, tolerance_days, tolerance_cents, keys, transfer_like).filter(
-        F.col("out_worded") | F.col("in_worded")
-    )
-    rows = _pair_rows(found, F.lit(0.0), _legs(ledger, keys, transfer_like))
+    legs = cut_lineage(_legs(ledger, keys, transfer_like))
+    found = lot_candidates(legs, tolerance_days, tolerance_cents, keys).filter(F.col("out_worded") | F.col("in_worded"))
+    rows = _pair_rows(found, F.lit(0.0), legs)
     return rows.select(*keys, F.col("proposer_row").alias("out_fingerprint"), F.col("partner_row").alias("in_fingerprint"))
 
 

@@ -328,7 +328,8 @@ def scan_categories(
         sums = sums.join(overrides.select(*keys, "merchant_norm", F.col("category_id").alias("user_category")),
                          [*keys, "merchant_norm"], "left")
         chosen = F.col("user_category")
-    return sums.withColumn("category", c.signed_category(F.col("sign"), F.col("merchant_norm"), F.col("description"), chosen))
+    found = sums.withColumn("found", c.category_of(F.col("merchant_norm"), F.col("description"))["category"])
+    return found.withColumn("category", c.signed_category(F.col("sign"), F.col("found"), chosen)).drop("found")
 
 
 def scan_breakdown(categorised: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -411,7 +412,7 @@ def scope_filter(scope: str) -> Column:
     """Rows of a drill-down scope."""
     kind, bucket = F.col("txn_type"), F.col("spending_bucket")
     if scope.startswith("category:"):
-        return F.col("category_id") == scope.split(":", 1)[1]
+        return F.coalesce(F.col("category_id") == scope.split(":", 1)[1], F.lit(False))
     if scope.startswith("merchant:"):
         return F.lower("merchant_norm") == scope.split(":", 1)[1].lower()
     scopes = {
