@@ -594,8 +594,8 @@ def event_daily_rollup(x: Inputs) -> DataFrame:
     src AS (SELECT t.owner_id, t.m, arg_min(i.name, i.rule_order) AS source FROM (SELECT DISTINCT owner_id, m FROM r) t
         JOIN income_rules i ON i.owner_id = t.owner_id AND contains(t.m, lower(i.pattern)) GROUP BY 1, 2),
     inc AS (SELECT r.*, s.source FROM r LEFT JOIN src s USING (owner_id, m) WHERE amount_cents > 0),
-    cut AS (SELECT owner_id, merchant_norm AS label, round(median_cents / 100.0, 2) AS usd,
-        row_number() OVER (PARTITION BY owner_id ORDER BY round(median_cents / 100.0, 2) DESC, merchant_norm) - 1 AS rank
+    cut AS (SELECT p.owner_id, merchant_norm AS label, round(median_cents / 100.0, 2) AS usd,
+        row_number() OVER (PARTITION BY p.owner_id ORDER BY round(median_cents / 100.0, 2) DESC, merchant_norm) - 1 AS rank
         FROM patterns p LEFT JOIN (SELECT owner_id, payee_norm FROM watchlist WHERE status = 'keep') w ON w.owner_id = p.owner_id AND w.payee_norm = p.merchant_norm
         WHERE is_recurring AND w.payee_norm IS NULL AND median_cents >= 500 QUALIFY rank < 15),
     s AS (SELECT o.owner_id, coalesce(income, 0) AS income, coalesce(matched, 0) AS matched, coalesce(spend, 0) AS spend, coalesce(saved, 0) AS saved
