@@ -11,6 +11,7 @@ from ..operators import duplicates as dup
 from ..operators import recurring as rec
 from ..plans import period_report as pr
 from ..plans import planner
+from ..session import cut_lineage
 from . import check_sql as k
 from .registry import Inputs, query
 
@@ -18,7 +19,7 @@ CLASS_COLUMNS = "owner_id merchant_norm:text"
 
 
 def _patterns(x: Inputs) -> DataFrame:
-    return rec.merchant_patterns(x.ledger, x.as_of)
+    return rec.merchant_patterns(x.stored, x.as_of)
 
 
 @query(f"{CLASS_COLUMNS} occurrence_count median_amount_cents median_interval_days amount_min_cents amount_max_cents first_seen:text "
@@ -57,7 +58,7 @@ _SECOND = f"""hist AS (SELECT n.owner_id, n.merchant_norm, count(*) AS n, CAST(t
     UNION ALL SELECT owner_id, merchant_norm, CASE cadence WHEN 'annual' THEN cents // 12 WHEN 'quarterly' THEN cents // 3 ELSE cents END, cadence,
         first_seen, last_seen, TRUE, display_name, cents FROM second""")
 def subscriptions(x: Inputs) -> DataFrame:
-    return rec.subscriptions(x.ledger, x.as_of, type_overrides=x.rules("recurring_overrides"))
+    return rec.subscriptions(x.stored, x.as_of, patterns=x.patterns, type_overrides=x.rules("recurring_overrides"))
 
 
 @query(f"{CLASS_COLUMNS} monthly_cents cadence:text bill_type:text last_seen:text", f"""
@@ -132,13 +133,13 @@ _MEMBERS = f"""WITH r AS (SELECT * FROM patterns WHERE is_recurring AND NOT is_t
     SELECT owner_id, group_type, group_name, count(*) AS member_count, sum(monthly_cents) AS total_monthly_cents
     FROM m WHERE group_name <> '' GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
 def duplicate_group_candidates(x: Inputs) -> DataFrame:
-    rows = dup.sized_members(dup.group_members(_patterns(x)))
+    rows = dup.sized_members(dup.group_members(x.patterns))
     return rows.select("owner_id", "group_type", "group_name", "member_count", "total_monthly_cents").distinct()
 
 
 @query("owner_id group_type:text group_name:text member_count total_monthly_cents severity:text detail:text")
 def duplicate_groups(x: Inputs) -> DataFrame:
-    return dup.duplicate_groups(_patterns(x), x.rules("dismissed"))
+    return dup.duplicate_groups(x.patterns, x.rules("dismissed"))
 
 
 _FAMILY_ROWS = f"""WITH r AS (SELECT owner_id, posted_at, merchant_norm AS label, -amount_cents AS cents, {k.first_family('merchant_norm', k.kw.BUNDLE_FAMILIES)} AS family
@@ -201,7 +202,7 @@ _BOARD = _FITS + f""",
 
 @query("owner_id commitment_id status:text resolved_cents monthly_cents next_due:text", _BOARD + " SELECT * FROM board")
 def commitment_board(x: Inputs) -> DataFrame:
-    return cm.commitment_board(x.rules("commitments"), x.ledger, x.as_of)
+    return cm.commitment_board(x.rules("commitments"), x.stored, x.as_of)
 
 
 _CONFIRMED = """sure AS (SELECT owner_id, sum(CASE WHEN status = 'confirmed' AND direction = 'income' THEN monthly_cents ELSE 0 END) AS income_cents,
@@ -230,12 +231,12 @@ _BILLS = f"""bills AS (SELECT owner_id, merchant_norm, cadence, last_seen, {k.mo
     WITH {_BILLS.replace("pattern_class IN ('utility', 'insurance')", "TRUE")},
     e AS (SELECT *, last_seen + CASE cadence WHEN 'weekly' THEN 7 WHEN 'biweekly' THEN 14 WHEN 'monthly' THEN 30 WHEN 'bimonthly' THEN 60
         WHEN 'quarterly' THEN 91 WHEN 'annual' THEN 365 ELSE 30 END AS expected_date FROM bills)
-    SELECT * FROM e WHERE {k.AS_OF} - expected_date BETWEEN 8 AND 90 AND NOT EXISTS (SELECT 1 FROM posted p WHERE p.owner_id = e.owner_id
-        AND p.merchant_norm = e.merchant_norm AND p.posted_at >= DATE '2001-11-01' AND p.posted_at <= {k.AS_OF})""")
+    SELECT * FROM e WHERE DATE '2001-11-30' - expected_date BETWEEN 8 AND 90 AND NOT EXISTS (SELECT 1 FROM posted p WHERE p.owner_id = e.owner_id
+        AND p.merchant_norm = e.merchant_norm AND p.posted_at >= DATE '2001-11-01' AND p.posted_at <= DATE '2001-11-30')""")
 def not_yet_posted(x: Inputs) -> DataFrame:
     rows = _patterns(x).filter("is_recurring and not is_transfer").withColumn(
         "monthly_cents", money.monthly_equivalent(F.col("median_amount_cents"), F.col("cadence")))
-    return cm.not_yet_posted(rows, x.ledger, x.as_of)
+    return cm.not_yet_posted(rows, x.stored, "2001-11-30")
 
 
 _INCOME = f"""rules AS (SELECT owner_id, merchant_pattern FROM merchant_rules WHERE rule_type = 'income'),
@@ -252,7 +253,7 @@ _INCOME = f"""rules AS (SELECT owner_id, merchant_pattern FROM merchant_rules WH
 
 @query("owner_id merchant_norm:text cadence:text expected_cents", f"WITH {_INCOME} SELECT * FROM paid")
 def income_merchants(x: Inputs) -> DataFrame:
-    return cm.income_merchants(x.ledger, x.rules("merchant_rules").filter("rule_type = 'income'"))
+    return cm.income_merchants(x.stored, x.rules("merchant_rules").filter("rule_type = 'income'"))
 
 
 @query("owner_id merchant_norm:text direction:text name:text expected_cents cadence:text reference_date:text", f"""
@@ -266,9 +267,8 @@ def income_merchants(x: Inputs) -> DataFrame:
     SELECT b.*, (SELECT max(posted_at) FROM ledger l WHERE l.owner_id = b.owner_id AND lower(l.merchant) = b.merchant_norm) AS reference_date FROM best b
     WHERE NOT EXISTS (SELECT 1 FROM commitments c WHERE c.owner_id = b.owner_id AND lower(c.merchant_norm) = b.merchant_norm AND c.direction = b.direction)""")
 def commitment_suggestions(x: Inputs) -> DataFrame:
-    patterns = _patterns(x)
-    return cm.suggestions(rec.subscriptions(x.ledger, x.as_of, patterns=patterns), rec.bills(patterns), income_merchants(x), x.ledger,
-                          x.rules("commitments"))
+    subs = rec.subscriptions(x.stored, x.as_of, patterns=x.patterns)
+    return cm.suggestions(subs, rec.bills(x.patterns), income_merchants(x), x.stored, x.rules("commitments"))
 
 
 # --- plans and projections ---------------------------------------------------------------
@@ -292,7 +292,7 @@ _BUCKETED = f"""WITH p6 AS ({k.patterns_of(210)}),
 
 
 def _bucketed(x: Inputs) -> DataFrame:
-    return planner.bucketed_rows(x.ledger, x.as_of)
+    return planner.bucketed_rows(x.stored, x.as_of)
 
 
 @query("owner_id spending_bucket:text months monthly_avg_cents monthly_min_cents monthly_max_cents trend_percent:real predictability:real merchant_count transaction_count",
@@ -356,25 +356,25 @@ _UPCOMING = f"""WITH {_FIRST.replace("recurring_overrides", "(SELECT * FROM recu
 @query("owner_id merchant_norm:text expected_date:text amount_cents confidence:real source:text",
        _UPCOMING + " SELECT owner_id, merchant_norm, due AS expected_date, cents AS amount_cents, confidence, source FROM up")
 def upcoming_charges(x: Inputs) -> DataFrame:
-    patterns = _patterns(x)
-    return planner.upcoming_charges(None, rec.subscriptions(x.ledger, x.as_of, patterns=patterns), rec.bills(patterns), x.as_of)
+    subs = rec.subscriptions(x.stored, x.as_of, patterns=x.patterns)
+    return planner.upcoming_charges(None, subs, rec.bills(x.patterns), x.as_of)
 
 
 @query("owner_id merchant_norm:text expected_date:text amount_cents confidence:real source:text")
 def upcoming_charges_with_commitments(x: Inputs) -> DataFrame:
-    patterns = _patterns(x)
-    return planner.upcoming_charges(commitment_board(x), rec.subscriptions(x.ledger, x.as_of, patterns=patterns), rec.bills(patterns), x.as_of)
+    subs = rec.subscriptions(x.stored, x.as_of, patterns=x.patterns)
+    return planner.upcoming_charges(commitment_board(x), subs, rec.bills(x.patterns), x.as_of)
 
 
 def _flow(x: Inputs, charges: DataFrame) -> DataFrame:
     reports = pr.period_reports(pr.period_totals(x.typed), x.accounts, x.as_of, 3)
-    plan = planner.budget_plan(planner.bucketed_rows(x.ledger, x.as_of, 3))
+    plan = planner.budget_plan(planner.bucketed_rows(x.stored, x.as_of, 3))
     return planner.cash_flow(charges, planner.income_estimate(reports, commitment_totals(x)), planner.flexible_estimate(plan))
 
 
 @query("owner_id expected_income_cents expected_fixed_cents expected_variable_cents expected_discretionary_cents expected_net_cents confidence:real")
 def cash_flow_projection(x: Inputs) -> DataFrame:
-    return _flow(x, upcoming_charges_with_commitments(x))
+    return _flow(x, cut_lineage(upcoming_charges_with_commitments(x)))
 
 
 @query("owner_id expected_income_cents", _BOARD + f""", {_CONFIRMED},
@@ -389,6 +389,6 @@ def income_estimate(x: Inputs) -> DataFrame:
 
 @query("owner_id alert_type:text severity:text alert_date:text amount_cents merchant_norm:text")
 def cash_flow_alerts(x: Inputs) -> DataFrame:
-    charges = upcoming_charges_with_commitments(x)
+    charges = cut_lineage(upcoming_charges_with_commitments(x))
     month = pr.period_totals(x.typed).filter("period_start = DATE '2001-11-01'")
-    return planner.cash_flow_alerts(_flow(x, charges), charges, pr.integrity(month), x.as_of)
+    return planner.cash_flow_alerts(cut_lineage(_flow(x, charges)), charges, pr.integrity(month), x.as_of)

@@ -14,8 +14,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.recurring import merchant_patterns
 from ..operators.scan import posted_only
 from ..plans import period_report as pr
+from ..session import cut_lineage, store
 from ..sources import driver_ledger, driver_rules
 from . import check_sql
 
@@ -38,6 +40,16 @@ class Inputs:
     def accounts(self) -> DataFrame:
         return driver_ledger.accounts(self.spark, self.sf_dir)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The ledger as a table. Here it is a view over three tables, so plans that scan it often write it first."""
+        return store(self.ledger)
+
+    @cached_property
+    def patterns(self) -> DataFrame:
+        """Merchant patterns, computed once for the several rules that read them."""
+        return cut_lineage(merchant_patterns(self.stored, self.as_of))
+
     @cached_property
     def event_ledger(self) -> DataFrame:
         return driver_ledger.event_ledger(self.spark, self.sf_dir)

@@ -10,7 +10,7 @@ from ..lexicon.categories import CATEGORIES, NOT_SPENDING, REFUNDABLE
 from ..operators import classify as c
 from ..operators import scan
 from ..operators.pairing import transfer_pairs, unmatched_legs
-from ..operators.recurring import bills, merchant_patterns
+from ..operators.recurring import bills
 from ..operators.refunds import period_refund_matches
 from ..plans import dashboard, month_tools
 from ..plans import period_report as pr
@@ -108,7 +108,7 @@ def classified_with_overrides(x: Inputs) -> DataFrame:
     FROM typed t LEFT JOIN patterns p ON p.owner_id = t.owner_id AND p.merchant_norm = t.merchant_norm
     WHERE amount_cents <= 0""")
 def spending_buckets(x: Inputs) -> DataFrame:
-    patterns = merchant_patterns(x.ledger, x.as_of)
+    patterns = x.patterns
     rows = pr.classified_ledger(x.ledger, x.accounts, patterns=patterns, with_categories=False)
     return rows.filter("amount_cents <= 0")
 
@@ -215,11 +215,11 @@ def period_trends(x: Inputs) -> DataFrame:
 @query(f"owner_id {MONTH} {TEN} fixed_obligations_cents variable_essentials_cents transaction_count net_cents")
 def full_period_report(x: Inputs) -> DataFrame:
     """Every input of the report: pairs and refunds per period, patterns, overrides, rules."""
-    keyed = x.ledger.withColumn("period_start", dates.period_start(F.col("posted_at")))
+    keyed = x.stored.withColumn("period_start", dates.period_start(F.col("posted_at")))
     pairs = transfer_pairs(keyed, keys=("owner_id", "period_start")).drop("period_start")
-    refunds = period_refund_matches(x.ledger).drop("period_start")
+    refunds = period_refund_matches(x.stored).drop("period_start")
     rows = pr.classified_ledger(
-        x.ledger, x.accounts, pairs=pairs, refunds=refunds, patterns=merchant_patterns(x.ledger, x.as_of),
+        x.stored, x.accounts, pairs=pairs, refunds=refunds, patterns=x.patterns,
         type_overrides=x.rules("type_overrides"), merchant_rules=x.rules("merchant_rules"), with_categories=False)
     return pr.period_totals(rows)
 
@@ -275,7 +275,7 @@ def integrity_scores(x: Inputs) -> DataFrame:
 def resolution_tasks(x: Inputs) -> DataFrame:
     """With unmatched legs, as the report counts them."""
     month = ("owner_id", "period_start")
-    keyed = x.ledger.withColumn("period_start", dates.period_start(F.col("posted_at")))
+    keyed = x.stored.withColumn("period_start", dates.period_start(F.col("posted_at")))
     open_legs = unmatched_legs(keyed, transfer_pairs(keyed, keys=month), month)
     counts = open_legs.groupBy(*month).agg(F.count("*").alias("unmatched_transfer_count"))
     return pr.resolution_tasks(pr.integrity(pr.period_totals(x.typed).join(counts, list(month), "left")))
@@ -328,7 +328,7 @@ def top_merchants(x: Inputs) -> DataFrame:
     FROM top t LEFT JOIN (SELECT owner_id, merchant_norm FROM classes WHERE is_recurring AND NOT is_transfer AND pattern_class IN ('utility', 'insurance')) b
         USING (owner_id, merchant_norm)""")
 def merchant_tracking(x: Inputs) -> DataFrame:
-    return pr.with_tracking(pr.top_merchants(x.ledger), bills(merchant_patterns(x.ledger, x.as_of)))
+    return pr.with_tracking(pr.top_merchants(x.ledger), bills(x.patterns))
 
 
 _OCTOBER = "period_start = DATE '2001-10-01'"
@@ -536,7 +536,7 @@ def rising_categories(x: Inputs) -> DataFrame:
     SELECT *, abs(current_cents - avg_cents) * 100 // avg_cents AS deviation_pct FROM f
     WHERE current_cents IS NOT NULL AND past >= 2 AND avg_cents > 0 AND abs(current_cents - avg_cents) * 100.0 / avg_cents > 15""")
 def bill_deviations(x: Inputs) -> DataFrame:
-    return dashboard.bill_deviations(x.typed, bills(merchant_patterns(x.ledger, x.as_of)), x.as_of)
+    return dashboard.bill_deviations(x.typed, bills(x.patterns), x.as_of)
 
 
 @query("owner_id row_count total_cents display_name:text updated_count", f"""
@@ -617,6 +617,6 @@ def event_daily_rollup(x: Inputs) -> DataFrame:
     UNION ALL (SELECT owner_id, 'income_sources', row_number() OVER (PARTITION BY owner_id ORDER BY cents DESC, label) - 1 AS n, label, cents / 100.0 FROM q QUALIFY n < 15)""")
 def survival_report(x: Inputs) -> DataFrame:
     marks = x.rules("watchlist").select("owner_id", F.col("payee_norm").alias("merchant_norm"), F.col("status").alias("watch_status"))
-    items = merchant_patterns(x.ledger, x.as_of).filter("is_recurring").join(marks, ["owner_id", "merchant_norm"], "left").select(
+    items = x.patterns.filter("is_recurring").join(marks, ["owner_id", "merchant_norm"], "left").select(
         "owner_id", F.col("merchant_norm").alias("label"), F.round(F.col("median_amount_cents") / 100, 2).alias("impact_usd"), "watch_status")
     return month_tools.survival_report(x.ledger, x.rules("income_rules"), items, "2001-09-01")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -264,10 +265,8 @@ def known_service(m: Column) -> Column:
 
     The registry is one constant array; meant for distinct merchants or groups.
     """
-    registry = F.array(*[
-        F.struct(F.lit(p).alias("pattern"), F.lit(n).alias("display_name"), F.lit(c).alias("service_cadence"))
-        for p, n, c in known_services()
-    ])
+    rows = [{"pattern": p, "display_name": n, "service_cadence": c} for p, n, c in known_services()]
+    registry = F.from_json(F.lit(json.dumps(rows)), "array<struct<pattern: string, display_name: string, service_cadence: string>>")
     best = F.get(F.filter(registry, lambda s: F.contains(m, s["pattern"])), F.lit(0))
     return F.when(best.isNotNull(), F.struct(best["display_name"].alias("display_name"),
                                              best["service_cadence"].alias("service_cadence")))
