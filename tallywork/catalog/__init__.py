@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from . import books, detection, matching, recurrence, reports  # noqa: F401  (they register themselves)
+from .registry import CATALOG
+
+__all__ = ["CATALOG"]

@@ -220,22 +220,30 @@ def ordered_category_rules() -> list[tuple[str, str, float]]:
     return sorted(categories.CATEGORY_RULES, key=lambda r: -r[2])
 
 
-def category_of(merchant: Column, description: Column) -> Column:
-    """Struct (category, category_confidence): the first rule that hits decides."""
+def category_rule(merchant: Column, description: Column) -> Column:
+    """Place in ordered_category_rules of the first rule that hits the text; null when none does."""
     words = F.lower(F.concat_ws(" ", merchant, F.coalesce(description, F.lit(""))))
     chain = F
-    for pattern, name, confidence in ordered_category_rules():
-        chain = chain.when(
-            words.rlike("(?U)" + pattern),
-            F.struct(F.lit(name).alias("category"), F.lit(confidence).alias("category_confidence")),
-        )
-    return chain.otherwise(F.struct(F.lit("other").alias("category"), F.lit(0.0).alias("category_confidence")))
+    for place, (pattern, _, _) in enumerate(ordered_category_rules()):
+        chain = chain.when(words.rlike("(?U)" + pattern), F.lit(place))
+    return chain
+
+
+def category_of(merchant: Column, description: Column) -> Column:
+    """Category by rule, other when none hits."""
+    names = F.split(F.lit(",".join(name for _, name, _ in ordered_category_rules())), ",")
+    return F.coalesce(F.get(names, category_rule(merchant, description)), F.lit("other"))
+
+
+def category_confidence(merchant: Column, description: Column) -> Column:
+    values = F.split(F.lit(",".join(str(sure) for _, _, sure in ordered_category_rules())), ",")
+    return F.coalesce(F.get(values, category_rule(merchant, description)).cast("double"), F.lit(0.0))
 
 
 def with_category(rows: DataFrame, category_overrides: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """Adds category_id to EXPENSE and REFUND rows; a user's override beats the rules."""
     described = text.raw_description(F.col("merchant"), F.col("description"))
-    rule = F.when(F.col("txn_type").isin(EXPENSE, REFUND), category_of(F.col("merchant_norm"), described)["category"])
+    rule = F.when(F.col("txn_type").isin(EXPENSE, REFUND), category_of(F.col("merchant_norm"), described))
     if category_overrides is None:
         return rows.withColumn("category_id", rule)
     chosen = category_overrides.select(*keys, "merchant_norm", F.col("category_id").alias("user_category"))

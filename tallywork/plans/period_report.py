@@ -328,7 +328,7 @@ def scan_categories(
         sums = sums.join(overrides.select(*keys, "merchant_norm", F.col("category_id").alias("user_category")),
                          [*keys, "merchant_norm"], "left")
         chosen = F.col("user_category")
-    found = sums.withColumn("found", c.category_of(F.col("merchant_norm"), F.col("description"))["category"])
+    found = sums.withColumn("found", c.category_of(F.col("merchant_norm"), F.col("description")))
     return found.withColumn("category", c.signed_category(F.col("sign"), F.col("found"), chosen)).drop("found")
 
 
@@ -467,7 +467,7 @@ def category_merchants(
     rows = with_merchant_norm(ledger.filter(dates.in_range(F.col("posted_at"), start, end) & (F.col("amount_cents") < 0)))
     sums = rows.groupBy(*keys, "merchant_norm").agg(
         F.sum(F.abs("amount_cents")).alias("total_cents"), F.count("*").alias("row_count"))
-    found = c.category_of(F.col("merchant_norm"), F.lit(""))["category"]
+    found = c.category_of(F.col("merchant_norm"), F.lit(""))
     if overrides is not None:
         sums = sums.join(overrides.select(*keys, "merchant_norm", "category_id"), [*keys, "merchant_norm"], "left")
         found = F.coalesce("category_id", found)
