@@ -12,6 +12,7 @@ from ..operators.detectors import alert_feed, detector_rows
 from ..operators.duplicates import group_members, group_summary, kept_members
 from ..plans import closing
 from ..plans import period_report as pr
+from ..session import store
 from ..sinks import exports
 from ..sources import bank_files as bf
 from . import check_sql as k
@@ -213,16 +214,16 @@ def _usd_text(cents: Column) -> Column:
 
 
 def _bank_rows(x: Inputs) -> DataFrame:
-    """Every ledger row as bank text; rows with an f or an e5 fingerprint are damaged."""
+    """Every ledger row as bank text, stored as a bank's file would be; rows with an f or an e5 fingerprint are damaged."""
     day = F.col("posted_at")
     style = F.dayofmonth(day) % 3
     day_text = F.when(style == 0, F.date_format(day, "yyyy-MM-dd")).when(style == 1, F.date_format(day, "M/d/yyyy")).otherwise(
         F.date_format(day, "yyyy/MM/dd"))
-    return x.ledger.select(
+    return store(x.ledger.select(
         "owner_id", "account_id", F.col("fingerprint").alias("row_id"),
         F.when(F.startswith("fingerprint", F.lit("f")), F.lit("soon")).otherwise(day_text).alias("date_text"),
         F.when(F.startswith("fingerprint", F.lit("e5")), F.lit("n/a")).otherwise(_usd_text(F.col("amount_cents"))).alias("amount_text"),
-        "description", "merchant")
+        "description", "merchant"))
 
 
 _PARSED = """SELECT owner_id, account_id, fingerprint AS row_id, posted_at, amount_cents, description, coalesce(nullif(merchant, ''), description) AS label,

@@ -14,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.classify import category_texts
 from ..operators.recurring import merchant_patterns
 from ..operators.scan import posted_only
 from ..plans import period_report as pr
@@ -60,8 +61,8 @@ class Inputs:
 
     @cached_property
     def classified(self) -> DataFrame:
-        """Typed by rules alone."""
-        return pr.classified_ledger(self.ledger, self.accounts)
+        """Typed by rules alone, categories looked up in the stored table of texts."""
+        return pr.classified_ledger(self.ledger, self.accounts, texts=store(category_texts(self.ledger)))
 
     @cached_property
     def typed(self) -> DataFrame:

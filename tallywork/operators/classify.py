@@ -225,7 +225,8 @@ def category_rule(merchant: Column, description: Column) -> Column:
     words = F.lower(F.concat_ws(" ", merchant, F.coalesce(description, F.lit(""))))
     chain = F
     for place, (pattern, _, _) in enumerate(ordered_category_rules()):
-        chain = chain.when(words.rlike("(?U)" + pattern), F.lit(place))
+        unicode = "(?U)" if "\\w" in pattern or "\\b" in pattern else ""
+        chain = chain.when(words.rlike(unicode + pattern), F.lit(place))
     return chain
 
 
@@ -240,18 +241,39 @@ def category_confidence(merchant: Column, description: Column) -> Column:
     return F.coalesce(F.get(values, category_rule(merchant, description)).cast("double"), F.lit(0.0))
 
 
-def with_category(rows: DataFrame, category_overrides: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Adds category_id to EXPENSE and REFUND rows; a user's override beats the rules."""
+def category_texts(ledger: DataFrame) -> DataFrame:
+    """Each distinct text of the ledger once, with its category.
+
+    Texts repeat far more than they are new, so the rules run on this table, not
+    on rows. Stored, its size is known: the planner broadcasts it while it is
+    small and joins it by shuffle when it is not.
+    """
+    rows = ledger.select(
+        text.merchant_norm(F.col("merchant"), F.col("description")).alias("merchant_norm"),
+        text.raw_description(F.col("merchant"), F.col("description")).alias("described"),
+    ).distinct()
+    return rows.withColumn("rule_category", category_of(F.col("merchant_norm"), F.col("described")))
+
+
+def with_category(
+    rows: DataFrame, category_overrides: DataFrame | None = None, texts: DataFrame | None = None, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Adds category_id to EXPENSE and REFUND rows; a user's override beats the rules.
+
+    With `texts` (see category_texts) the rules are looked up, without they run per row.
+    """
     described = text.raw_description(F.col("merchant"), F.col("description"))
-    rule = F.when(F.col("txn_type").isin(EXPENSE, REFUND), category_of(F.col("merchant_norm"), described))
-    if category_overrides is None:
-        return rows.withColumn("category_id", rule)
-    chosen = category_overrides.select(*keys, "merchant_norm", F.col("category_id").alias("user_category"))
-    return (
-        rows.join(chosen, [*keys, "merchant_norm"], "left")
-        .withColumn("category_id", F.when(F.col("txn_type").isin(EXPENSE, REFUND), F.coalesce("user_category", rule)))
-        .drop("user_category")
-    )
+    if texts is None:
+        rows = rows.withColumn("rule_category", category_of(F.col("merchant_norm"), described))
+    else:
+        rows = rows.withColumn("described", described).join(texts, ["merchant_norm", "described"], "left").drop("described")
+    chosen = F.col("rule_category")
+    if category_overrides is not None:
+        users = category_overrides.select(*keys, "merchant_norm", F.col("category_id").alias("user_category"))
+        rows = rows.join(users, [*keys, "merchant_norm"], "left")
+        chosen = F.coalesce("user_category", "rule_category")
+    spent = F.col("txn_type").isin(EXPENSE, REFUND)
+    return rows.withColumn("category_id", F.when(spent, chosen)).drop("rule_category", "user_category")
 
 
 def signed_category(amount: Column, found: Column, override: Column | None = None) -> Column:

@@ -31,6 +31,7 @@ def classified_ledger(
     type_overrides: DataFrame | None = None,
     merchant_rules: DataFrame | None = None,
     category_overrides: DataFrame | None = None,
+    texts: DataFrame | None = None,
     accounts: Sequence[str] | None = None,
     include_pending: bool = False,
     with_categories: bool = True,
@@ -40,7 +41,7 @@ def classified_ledger(
 
     Pairs and refunds are optional inputs. With patterns, subscriptions become
     fixed obligations and habitual merchants variable essentials; without, all
-    spending is discretionary.
+    spending is discretionary. `texts` is the stored table of category_texts.
     """
     rows = ledger if include_pending else ledger.filter(posted_only())
     rows = c.with_card_flag(with_merchant_norm(for_accounts(rows, accounts)), accounts_dim)
@@ -54,7 +55,7 @@ def classified_ledger(
         rows = rows.join(pattern_flags(patterns, keys), [*keys, "merchant_norm"], "left")
     rows = c.classify(c.with_overrides(rows, type_overrides, merchant_rules, keys))
     if with_categories:
-        rows = c.with_category(rows, category_overrides, keys)
+        rows = c.with_category(rows, category_overrides, texts, keys)
     paired = F.coalesce(F.col("is_paired"), F.lit(False)) if pairs is not None else F.lit(False)
     return rows.withColumn(
         "transfer_status",
