@@ -220,7 +220,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, rea
     the two 32-bit fields of such a lane one differs in at most 4, and 31 masks cover it. Nulls, empties, repeats and empty
     tables behave as in fingerprint_components; group_id is the least id of the group."""
     lanes = ["f0", "f1", "f2", "f3"]
-    apart = int(256 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    apart = int(256 * share + 0.5 * np.sqrt(256 * share * (1 - share)))  # half a deviation more: a pair at the threshold is likelier linked than not
     prints = store(fingerprints(docs, words, 42, 4, False, doc_id, text).withColumn("node", F.xxhash64(*lanes)))
     each = store(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(x).alias(x) for x in lanes]))
     masks = covering_masks(reach // 2, 32) + covering_masks(reach // 2, 32, 32)
