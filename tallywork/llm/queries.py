@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash
+from . import decontaminate, packing, sharding, simhash
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -30,6 +35,30 @@ def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_components, op2_histogram_shards, op9_packed_sequences,
+    op1_simhash_components, op2_histogram_shards, op7_decontamination, op9_packed_sequences,
 )}
-CHECKS: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')"
+
+CHECKS: dict[str, str] = {
+    "op7_decontamination": f"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+patterns AS (
+    SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + 12], ' ') AS p
+    FROM items, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(i) WHERE len(w) > 0
+),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+places AS (
+    SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS p
+    FROM docs, (SELECT DISTINCT n FROM patterns) AS lengths, unnest(range(1, len(w) - n + 2)) AS u(i)
+),
+hits AS (SELECT DISTINCT doc_id, i, n, item_id FROM places JOIN patterns USING (n, p)),
+words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM hits, unnest(range(i, i + n)) AS u(pos) GROUP BY doc_id),
+found AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+    FROM hits GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""",
+}
