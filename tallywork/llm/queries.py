@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, sharding, simhash
+from . import decontaminate, lines, packing, sharding, simhash
 from .common import table
 
 
@@ -27,6 +27,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.without_repeats(docs)
+
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -35,7 +40,7 @@ def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_components, op2_histogram_shards, op7_decontamination, op9_packed_sequences,
+    op1_simhash_components, op2_histogram_shards, op7_decontamination, op8_line_chunks, op9_packed_sequences,
 )}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')"
