@@ -183,8 +183,9 @@ def train(texts: Iterable[str], labels: Iterable[int]) -> Machine:
         yes, no = np.array(sorted(bad)), np.array(sorted(good - bad))
         at = np.concatenate([yes, no])
         sign = np.concatenate([np.ones(len(yes)), -np.ones(len(no))])
-        cost = np.where(sign > 0, len(no) / len(yes) * 0.3, 1.0)
-        w, bias = _svm(features[at], sign, np.maximum(cost, 1e-3))
+        seen = np.sqrt(np.where(sign > 0, t[at], c[at]) + 1)  # words seen in more texts count for more
+        cost = seen * np.where(sign > 0, 0.5 * seen[len(yes) :].sum() / seen[: len(yes)].sum(), 1.0)
+        w, bias = _svm(features[at], sign, cost)
         margin = features @ w + bias
         if turn == 2:
             break
