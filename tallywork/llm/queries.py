@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, lines, packing, quality, sharding, simhash, toxicity
+from . import ann, decontaminate, lines, packing, pages, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op5_permutation_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op6_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
@@ -54,7 +58,8 @@ def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_components, op2_histogram_shards, op3_quality_boosting, op4_toxicity_kernel, op5_permutation_neighbours, op7_decontamination, op8_line_chunks, op9_packed_sequences,
+    op1_simhash_components, op2_histogram_shards, op3_quality_boosting, op4_toxicity_kernel, op5_permutation_neighbours, op6_page_differencing,
+    op7_decontamination, op8_line_chunks, op9_packed_sequences,
 )}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')"
