@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, lines, packing, pages, quality, sharding, simhash, toxicity
+from . import ann, decontaminate, lines, packing, pages, quality, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -57,9 +57,13 @@ def op9_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_components, op2_histogram_shards, op3_quality_boosting, op4_toxicity_kernel, op5_permutation_neighbours, op6_page_differencing,
-    op7_decontamination, op8_line_chunks, op9_packed_sequences,
+    op7_decontamination, op8_line_chunks, op9_packed_sequences, op10_secret_forest,
 )}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')"
