@@ -65,8 +65,10 @@ def splitters(keys: DataFrame, shards: int = 8, tolerance: float = 0.01) -> tupl
             low, high = bracket(goal)
             if abs(below[best(goal)][0] - goal) <= near or below[high][1] - below[low][1] <= 1:
                 continue
-            unit = 1 << GROUP_BITS if high // (1 << GROUP_BITS) > low // (1 << GROUP_BITS) + (low % (1 << GROUP_BITS) > 0) else 1
-            first, last = -(-(low + 1) // unit), (high - 1) // unit
+            for unit in (1 << GROUP_BITS, 1):  # between texts while there is a place between two texts
+                first, last = (low + unit) // unit, (high - 1) // unit
+                if first <= last:
+                    break
             step = max(1, -(-(last - first + 1) // PROBES))
             probes |= {k * unit for k in range(first, last + 1, step)} | ({last * unit} if last >= first else set())
         probes -= below.keys()
