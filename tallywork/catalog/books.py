@@ -121,12 +121,13 @@ def adjustment_summary(x: Inputs) -> DataFrame:
 
 @query("owner_id matched_count unmatched_count", """
     SELECT owner_id, count(CASE WHEN fingerprint LIKE 'b%' THEN 1 END) AS matched_count, count(CASE WHEN fingerprint NOT LIKE 'b%' THEN 1 END) AS unmatched_count
-    FROM ledger GROUP BY owner_id HAVING matched_count > 0 AND unmatched_count > 0""")
+    FROM ledger GROUP BY owner_id""")
 def statement_matched_rows(x: Inputs) -> DataFrame:
     confirmed = x.rules("notes").select("owner_id", "fingerprint")
     on = closing.statement_matched(x.stored, confirmed).groupBy("owner_id").agg(F.count("*").alias("matched_count"))
     off = closing.statement_unmatched(x.stored, confirmed).groupBy("owner_id").agg(F.count("*").alias("unmatched_count"))
-    return on.join(off, "owner_id")
+    both = on.join(off, "owner_id", "full")
+    return both.withColumns({name: F.coalesce(name, F.lit(0)) for name in ("matched_count", "unmatched_count")})
 
 
 # --- reconciliation --------------------------------------------------------------------
@@ -192,11 +193,19 @@ def missing_transaction_candidates(x: Inputs) -> DataFrame:
     return closing.missing_candidates(_events(x), x.ledger)
 
 
-@query("entity_id:text event_type:text new_value:text", """
-    SELECT entity_id, event_type, new_value FROM audit_log WHERE event_type = 'TXN_TYPE_OVERRIDE' AND timestamp >= TIMESTAMP '2001-06-01'
-    ORDER BY timestamp DESC, entity_id LIMIT 100""")
+@query("owner_id place entity_id:text event_type:text new_value:text", """
+    SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY timestamp DESC, entity_id) AS place, entity_id, event_type, new_value
+    FROM audit_log WHERE event_type = 'TXN_TYPE_OVERRIDE' AND timestamp >= TIMESTAMP '2001-06-01' QUALIFY place <= 100""")
 def audit_log(x: Inputs) -> DataFrame:
-    return closing.audit_log(x.rules("audit_log"), "transaction", event_type="TXN_TYPE_OVERRIDE", since="2001-06-01")
+    """The newest hundred of each ledger."""
+    return closing.audit_log(x.rules("audit_log"), "transaction", event_type="TXN_TYPE_OVERRIDE", since="2001-06-01", limit=100)
+
+
+@query("owner_id entity_id:text event_type:text new_value:text", """
+    SELECT owner_id, entity_id, event_type, new_value FROM audit_log WHERE entity_id = (SELECT min(fingerprint) FROM ledger)""")
+def entity_history(x: Inputs) -> DataFrame:
+    entity = x.ledger.agg(F.min("fingerprint")).first()[0]
+    return closing.entity_history(x.rules("audit_log"), "transaction", entity)
 
 
 # --- ingest: texts as a bank would send them, made from the ledger ------------------------
@@ -310,24 +319,29 @@ def feed_errors(x: Inputs) -> DataFrame:
 def _batch(x: Inputs) -> DataFrame:
     """Rows that come again: some with a new amount, some new to the ledger, some without a source id."""
     amount = F.when(F.startswith("fingerprint", F.lit("1")), F.col("amount_cents") - 1).otherwise(F.col("amount_cents"))
-    return x.stored.filter("left(fingerprint, 1) in ('1', '2', '3', '4')").withColumn("amount_cents", amount).withColumn("page_no", F.lit(1)).withColumn(
+    return x.ledger.filter("left(fingerprint, 1) in ('1', '2', '3', '4')").withColumn("amount_cents", amount).withColumn("page_no", F.lit(1)).withColumn(
         "source_txn_id", F.when(F.startswith("fingerprint", F.lit("4")), F.lit(None).cast("string")).otherwise(F.col("source_txn_id")))
 
 
-@query("owner_id change:text rows amount_cents", """
-    SELECT owner_id, CASE WHEN left(fingerprint, 1) = '1' THEN 'updated' WHEN left(fingerprint, 1) IN ('3', '4') THEN 'inserted' ELSE 'unchanged' END AS change, count(*) AS rows,
-        sum(amount_cents - CASE WHEN left(fingerprint, 1) = '1' THEN 1 ELSE 0 END) AS amount_cents FROM ledger GROUP BY 1, 2""")
+_MERGE_CHANGE = "CASE WHEN left(fingerprint, 1) = '1' THEN 'updated' WHEN left(fingerprint, 1) IN ('3', '4') THEN 'inserted' ELSE 'unchanged' END"
+
+
+@query("owner_id account_id:text posted_at:text amount_cents currency:text description:text merchant:text fingerprint:text pending:flag source_txn_id:text created_at:text updated_at:text change:text", f"""
+    SELECT owner_id, account_id, posted_at, amount_cents - CASE WHEN change = 'updated' THEN 1 ELSE 0 END AS amount_cents, currency, description, merchant, fingerprint, pending,
+        CASE WHEN left(fingerprint, 1) = '4' THEN NULL ELSE source_txn_id END AS source_txn_id,
+        strftime(CASE WHEN change = 'inserted' THEN TIMESTAMP '{NOW}' ELSE created_at END, '%Y-%m-%d %H:%M:%S') AS created_at,
+        strftime(CASE WHEN change = 'unchanged' THEN updated_at ELSE TIMESTAMP '{NOW}' END, '%Y-%m-%d %H:%M:%S') AS updated_at, change
+    FROM (SELECT *, {_MERGE_CHANGE} AS change FROM ledger)""")
 def ledger_merge(x: Inputs) -> DataFrame:
-    """The ledger without its 3s and 4s takes the batch."""
-    merged = merge.merge_ledger(x.stored.filter("left(fingerprint, 1) not in ('3', '4')"), _batch(x), NOW, keys=["owner_id"])
-    return merged.groupBy("owner_id", "change").agg(F.count("*").alias("rows"), F.sum("amount_cents").alias("amount_cents"))
+    """Every row of the ledger after it, without its 3s and 4s, took the batch."""
+    return merge.merge_ledger(x.ledger.filter("left(fingerprint, 1) not in ('3', '4')"), _batch(x), NOW, keys=["owner_id"])
 
 
 @query("owner_id inserted updated", """
     SELECT owner_id, count(CASE WHEN left(fingerprint, 1) IN ('3', '4') THEN 1 END) AS inserted, count(CASE WHEN left(fingerprint, 1) = '1' THEN 1 END) AS updated FROM ledger GROUP BY 1""")
 def merge_counts(x: Inputs) -> DataFrame:
     return merge.merge_counts(merge.merge_ledger(
-        x.stored.filter("left(fingerprint, 1) not in ('3', '4')"), _batch(x), NOW, keys=["owner_id"]), ["owner_id"])
+        x.ledger.filter("left(fingerprint, 1) not in ('3', '4')"), _batch(x), NOW, keys=["owner_id"]), ["owner_id"])
 
 
 @query("owner_id account_id:text name:text last_seen_at:text", """

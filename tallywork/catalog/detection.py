@@ -80,7 +80,7 @@ def rapid_fire_rows(x: Inputs) -> DataFrame:
 @query(ALERT, _RAPID.replace("recent60", "ev").replace("SELECT owner_id, posted_at", """WITH ev AS (SELECT *, lower(merchant) AS merchant_norm FROM event_ledger
     WHERE posted_at BETWEEN DATE '2023-12-01' AND DATE '2024-01-30') SELECT owner_id, posted_at""", 1))
 def event_rapid_fire(x: Inputs) -> DataFrame:
-    return det.rapid_fire(det.detector_rows(x.event_ledger, x.accounts.limit(0), "2024-01-30"))
+    return det.rapid_fire(det.detector_rows(x.event_ledger, x.accounts, "2024-01-30"))
 
 
 @query(f"{ALERT} related_date:text", _RECHARGE)

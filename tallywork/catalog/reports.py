@@ -30,16 +30,28 @@ def ledger_period_scan(x: Inputs) -> DataFrame:
     return scan.period_scan(x.ledger, "2001-01-01", "2001-04-01")
 
 
-@query("owner_id selected_count other_count truncated:flag", f"""
-    WITH hits AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY posted_at DESC, fingerprint) AS n FROM norm
+_HITS = f"""SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY posted_at DESC, fingerprint) AS hit_rank,
+        ends_with(account_id, '-1') AS in_selection FROM norm
         WHERE (contains(lower(coalesce(merchant, '')), 'netflix') OR contains(lower(coalesce(description, '')), 'netflix'))
-        AND posted_at BETWEEN {k.AS_OF} - 400 AND {k.AS_OF})
-    SELECT owner_id, sum(CASE WHEN ends_with(account_id, '-1') THEN 1 ELSE 0 END) AS selected_count,
-        sum(CASE WHEN ends_with(account_id, '-1') THEN 0 ELSE 1 END) AS other_count, count(*) >= 15 AS truncated
-    FROM hits WHERE n <= 15 GROUP BY owner_id""")
+        AND posted_at BETWEEN {k.AS_OF} - 400 AND {k.AS_OF}"""
+
+
+def _search(x: Inputs) -> DataFrame:
+    return scan.search(x.ledger, x.accounts, "Netflix", x.as_of, days=400, selected=F.endswith("account_id", F.lit("-1")), limit=15)
+
+
+@query("owner_id selected_count other_count truncated:flag", f"""
+    SELECT owner_id, count(CASE WHEN in_selection THEN 1 END) AS selected_count, count(CASE WHEN NOT in_selection THEN 1 END) AS other_count,
+        count(*) > 15 AS truncated FROM ({_HITS}) AS hits GROUP BY owner_id""")
 def transaction_search(x: Inputs) -> DataFrame:
-    hits = scan.search(x.ledger, x.accounts, "Netflix", x.as_of, days=400, limit=15)
-    return scan.search_summary(hits.withColumn("in_selection", F.endswith("account_id", F.lit("-1"))), limit=15)
+    return scan.search_summary(_search(x), limit=15)
+
+
+@query("owner_id hit_rank fingerprint:text posted_at:text amount_cents account_name:text in_selection:flag", f"""
+    SELECT h.owner_id, hit_rank, fingerprint, posted_at, amount_cents, a.name AS account_name, in_selection
+    FROM ({_HITS}) AS h LEFT JOIN accounts a USING (account_id) WHERE hit_rank <= 15""")
+def transaction_search_rows(x: Inputs) -> DataFrame:
+    return _search(x)
 
 
 @query("owner_id fingerprint:text fuzzy:text label:text described:text words:text week:text quarter:text usd:text compact:text half tenth close:flag",

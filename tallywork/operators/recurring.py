@@ -40,7 +40,7 @@ def _daily(rows: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame]
         F.min("cents").alias("low"),
         F.max("cents").alias("high"),
         F.sum(F.col("n") * F.col("cents")).cast("decimal(38,0)").alias("total"),
-        F.sum(F.col("n").cast("decimal(19,0)") * F.col("cents").cast("decimal(9,0)") * F.col("cents").cast("decimal(9,0)"))
+        F.sum(F.col("n").cast("decimal(19,0)") * (F.col("cents").cast("decimal(19,0)") * F.col("cents").cast("decimal(19,0)")))
         .cast("decimal(38,0)").alias("squares"),
     )
     amounts = counted.groupBy(*group, "cents").agg(F.sum("n").alias("n"))

@@ -64,13 +64,15 @@ def search(
     needle: str,
     as_of: str | dt.date,
     days: int = 90,
-    selected: Sequence[str] | None = None,
+    selected: Sequence[str] | Column | None = None,
     limit: int = 200,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Newest rows of each ledger whose merchant or description holds the needle.
 
-    `in_selection` splits hits on selected accounts from hits on others.
+    `in_selection` splits hits on selected accounts from hits on others. Only
+    the newest `limit` rows of a ledger are returned; hit_count and
+    selected_count count all of its hits.
     """
     word = needle.lower()
     hit = F.contains(F.lower(F.coalesce("merchant", F.lit(""))), F.lit(word)) | F.contains(
@@ -78,20 +80,24 @@ def search(
     )
     newest = Window.partitionBy(*keys).orderBy(F.desc("posted_at"), "fingerprint")
     names = accounts_dim.select("account_id", F.col("name").alias("account_name"))
-    chosen = F.lit(True) if not selected else F.col("account_id").isin(list(selected))
+    if selected is None:
+        chosen = F.lit(True)
+    else:
+        chosen = selected if isinstance(selected, Column) else F.col("account_id").isin(list(selected))
+    hits = with_merchant_norm(look_back(ledger, as_of, days).filter(hit)).withColumn("in_selection", chosen)
+    counts = hits.groupBy(*keys).agg(F.count("*").alias("hit_count"), F.count_if("in_selection").alias("selected_count"))
     return (
-        with_merchant_norm(look_back(ledger, as_of, days).filter(hit))
-        .withColumn("hit_rank", F.row_number().over(newest))
+        hits.withColumn("hit_rank", F.row_number().over(newest))
         .filter(F.col("hit_rank") <= limit)
-        .join(names, "account_id")
-        .withColumn("in_selection", chosen)
+        .join(counts, [*keys])
+        .join(names, "account_id", "left")
     )
 
 
 def search_summary(hits: DataFrame, keys: Sequence[str] = KEYS, limit: int = 200) -> DataFrame:
-    """Counts of search hits on selected and other accounts, and whether the cap was reached."""
+    """Counts of all search hits on selected and other accounts, and whether rows were left out."""
     return hits.groupBy(*keys).agg(
-        F.count_if("in_selection").alias("selected_count"),
-        F.count_if(~F.col("in_selection")).alias("other_count"),
-        (F.count("*") >= limit).alias("truncated"),
+        F.first("selected_count").alias("selected_count"),
+        F.first(F.col("hit_count") - F.col("selected_count")).alias("other_count"),
+        (F.first("hit_count") > limit).alias("truncated"),
     )

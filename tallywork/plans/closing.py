@@ -265,16 +265,20 @@ def missing_candidates(
 
 def audit_log(
     log: DataFrame, entity_type: str | None = None, entity_id: str | None = None, event_type: str | None = None,
-    since: str | None = None, limit: int = 100,
+    since: str | None = None, limit: int | None = None, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """The newest audit events that pass the filters."""
+    """The audit events that pass the filters, all of them or the newest `limit` of each ledger, with their place."""
     for name, value in (("entity_type", entity_type), ("entity_id", entity_id), ("event_type", event_type)):
         if value is not None:
             log = log.filter(F.col(name) == value)
     if since is not None:
         log = log.filter(F.col("timestamp") >= F.lit(since).cast("timestamp"))
-    return log.orderBy(F.desc("timestamp"), "entity_id").limit(limit)
+    if limit is None:
+        return log
+    newest = Window.partitionBy(*keys).orderBy(F.desc("timestamp"), "entity_id")
+    return log.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= limit)
 
 
 def entity_history(log: DataFrame, entity_type: str, entity_id: str) -> DataFrame:
-    return audit_log(log, entity_type, entity_id, limit=1000)
+    """Every event of one entity."""
+    return audit_log(log, entity_type, entity_id)
