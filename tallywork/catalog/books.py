@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..operators import merge
 from ..operators import recurring as rec
-from ..operators.detectors import alert_feed, detector_rows
+from ..operators.detectors import alert_feed
 from ..operators.duplicates import group_members, group_summary, kept_members
 from ..plans import closing
 from ..plans import period_report as pr
@@ -101,8 +101,8 @@ _LATE = """SELECT owner_id, CAST(date_trunc('month', posted_at) AS DATE) AS peri
 def _late(x: Inputs) -> tuple[DataFrame, DataFrame]:
     """Rows whose fingerprint starts with e arrive after the close."""
     closed = closing.current_closes(_closed(x)).filter("status = 'closed'")
-    held = closing.close_fingerprints(closed, x.stored.filter("fingerprint not like 'e%'"))
-    return closed, closing.late_rows(closed, held, x.stored)
+    held = closing.close_fingerprints(closed, x.ledger.filter("fingerprint not like 'e%'"))
+    return closed, closing.late_rows(closed, held, x.ledger)
 
 
 @query("owner_id period_start:text fingerprint:text posted_at:text amount_cents merchant_norm:text", _LATE)
@@ -124,8 +124,8 @@ def adjustment_summary(x: Inputs) -> DataFrame:
     FROM ledger GROUP BY owner_id""")
 def statement_matched_rows(x: Inputs) -> DataFrame:
     confirmed = x.rules("notes").select("owner_id", "fingerprint")
-    on = closing.statement_matched(x.stored, confirmed).groupBy("owner_id").agg(F.count("*").alias("matched_count"))
-    off = closing.statement_unmatched(x.stored, confirmed).groupBy("owner_id").agg(F.count("*").alias("unmatched_count"))
+    on = closing.statement_matched(x.ledger, confirmed).groupBy("owner_id").agg(F.count("*").alias("matched_count"))
+    off = closing.statement_unmatched(x.ledger, confirmed).groupBy("owner_id").agg(F.count("*").alias("unmatched_count"))
     both = on.join(off, "owner_id", "full")
     return both.withColumns({name: F.coalesce(name, F.lit(0)) for name in ("matched_count", "unmatched_count")})
 
@@ -365,12 +365,12 @@ def export_transactions(x: Inputs) -> DataFrame:
 
 @query("owner_id payee_norm:text monthly_est_cents status:text note:text handled_at:text")
 def export_actions(x: Inputs) -> DataFrame:
-    return exports.actions(rec.strict_candidates(x.stored, x.as_of), x.rules("watchlist"))
+    return exports.actions(rec.strict_candidates(x.last_400_days, x.as_of), x.rules("watchlist"))
 
 
 @query("owner_id posted_at:text merchant:text amount_usd:text pattern_type:text severity:text detail:text")
 def export_alerts(x: Inputs) -> DataFrame:
-    return exports.alerts(alert_feed(detector_rows(x.stored, x.accounts, x.as_of), x.patterns))
+    return exports.alerts(alert_feed(x.charges, x.patterns))
 
 
 @query("owner_id group_type:text merchants:text monthly_total_usd:text severity:text detail:text")
@@ -382,7 +382,7 @@ def export_duplicates(x: Inputs) -> DataFrame:
 @query("owner_id merchant:text monthly_usd:text cadence:text is_duplicate:text")
 def export_subscriptions(x: Inputs) -> DataFrame:
     members = kept_members(group_members(x.patterns))
-    return exports.subscriptions(rec.subscriptions(x.stored, x.as_of, patterns=x.patterns, duplicate_members=members))
+    return exports.subscriptions(rec.subscriptions(x.last_400_days, x.as_of, patterns=x.patterns, duplicate_members=members))
 
 
 @query("owner_id period:text start_date:text end_date:text income_usd:text net_usd:text income_trend:text")

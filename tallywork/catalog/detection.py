@@ -19,7 +19,7 @@ ALERT = "owner_id posted_at:text merchant_norm:text amount_cents"
 
 
 def _rows(x: Inputs) -> DataFrame:
-    return det.detector_rows(x.ledger, x.accounts, x.as_of)
+    return x.charges
 
 
 _DUPLICATE = """SELECT DISTINCT a.owner_id, b.posted_at, a.merchant_norm, -a.amount_cents AS amount_cents, a.posted_at AS related_date
@@ -169,7 +169,7 @@ def largest_rows(x: Inputs) -> DataFrame:
 
 @query("owner_id place section item_type:text item_key:text")
 def attention_feed(x: Inputs) -> DataFrame:
-    rows = det.detector_rows(x.stored, x.accounts, x.as_of)
+    rows = x.charges
     alerts = cut_lineage(det.alert_feed(rows, x.patterns, x.rules("merchant_rules")))
     typed = x.classified
     rising = dashboard.rising_categories(dashboard.category_history(pr.category_breakdown(typed), x.as_of))

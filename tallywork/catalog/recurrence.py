@@ -19,7 +19,7 @@ CLASS_COLUMNS = "owner_id merchant_norm:text"
 
 
 def _patterns(x: Inputs) -> DataFrame:
-    return rec.merchant_patterns(x.stored, x.as_of)
+    return rec.merchant_patterns(x.last_400_days, x.as_of)
 
 
 @query(f"{CLASS_COLUMNS} occurrence_count median_amount_cents median_interval_days amount_min_cents amount_max_cents first_seen:text "
@@ -58,7 +58,7 @@ _SECOND = f"""hist AS (SELECT n.owner_id, n.merchant_norm, count(*) AS n, CAST(t
     UNION ALL SELECT owner_id, merchant_norm, CASE cadence WHEN 'annual' THEN cents // 12 WHEN 'quarterly' THEN cents // 3 ELSE cents END, cadence,
         first_seen, last_seen, TRUE, display_name, cents FROM second""")
 def subscriptions(x: Inputs) -> DataFrame:
-    return rec.subscriptions(x.stored, x.as_of, patterns=x.patterns, type_overrides=x.rules("recurring_overrides"))
+    return rec.subscriptions(x.last_400_days, x.as_of, patterns=x.patterns, type_overrides=x.rules("recurring_overrides"))
 
 
 @query(f"{CLASS_COLUMNS} monthly_cents cadence:text bill_type:text last_seen:text", f"""
@@ -202,7 +202,7 @@ _BOARD = _FITS + f""",
 
 @query("owner_id commitment_id status:text resolved_cents monthly_cents next_due:text", _BOARD + " SELECT * FROM board")
 def commitment_board(x: Inputs) -> DataFrame:
-    return cm.commitment_board(x.rules("commitments"), x.stored, x.as_of)
+    return x.board
 
 
 _CONFIRMED = """sure AS (SELECT owner_id, sum(CASE WHEN status = 'confirmed' AND direction = 'income' THEN monthly_cents ELSE 0 END) AS income_cents,
@@ -211,7 +211,7 @@ _CONFIRMED = """sure AS (SELECT owner_id, sum(CASE WHEN status = 'confirmed' AND
 
 @query("owner_id income_cents expense_cents net_cents", _BOARD + f", {_CONFIRMED} SELECT *, income_cents - expense_cents AS net_cents FROM sure")
 def commitment_totals(x: Inputs) -> DataFrame:
-    return cm.board_totals(commitment_board(x))
+    return cm.board_totals(x.board)
 
 
 @query("owner_id period_start:text avg_income_cents avg_recurring_cents", _BOARD + f""", {_CONFIRMED}
@@ -219,7 +219,7 @@ def commitment_totals(x: Inputs) -> DataFrame:
         CASE WHEN s.expense_cents > 0 THEN s.expense_cents ELSE 0 END AS avg_recurring_cents
     FROM reports v LEFT JOIN sure s USING (owner_id) WINDOW w AS (PARTITION BY v.owner_id ORDER BY period_start ROWS 2 PRECEDING)""")
 def trends_with_commitments(x: Inputs) -> DataFrame:
-    view = pr.period_view(pr.period_reports(pr.period_totals(x.typed), x.accounts, x.as_of, 6))
+    view = pr.period_view(pr.period_reports(x.month_totals, x.accounts, x.as_of, 6))
     return pr.period_trends(view, confirmed=commitment_totals(x))
 
 
@@ -236,7 +236,7 @@ _BILLS = f"""bills AS (SELECT owner_id, merchant_norm, cadence, last_seen, {k.mo
 def not_yet_posted(x: Inputs) -> DataFrame:
     rows = _patterns(x).filter("is_recurring and not is_transfer").withColumn(
         "monthly_cents", money.monthly_equivalent(F.col("median_amount_cents"), F.col("cadence")))
-    return cm.not_yet_posted(rows, x.stored, "2001-11-30")
+    return cm.not_yet_posted(rows, x.ledger, "2001-11-30")
 
 
 _INCOME = f"""rules AS (SELECT owner_id, merchant_pattern FROM merchant_rules WHERE rule_type = 'income'),
@@ -253,7 +253,7 @@ _INCOME = f"""rules AS (SELECT owner_id, merchant_pattern FROM merchant_rules WH
 
 @query("owner_id merchant_norm:text cadence:text expected_cents", f"WITH {_INCOME} SELECT * FROM paid")
 def income_merchants(x: Inputs) -> DataFrame:
-    return cm.income_merchants(x.stored, x.rules("merchant_rules").filter("rule_type = 'income'"))
+    return cm.income_merchants(x.ledger, x.rules("merchant_rules").filter("rule_type = 'income'"))
 
 
 @query("owner_id merchant_norm:text direction:text name:text expected_cents cadence:text reference_date:text", f"""
@@ -267,8 +267,8 @@ def income_merchants(x: Inputs) -> DataFrame:
     SELECT b.*, (SELECT max(posted_at) FROM ledger l WHERE l.owner_id = b.owner_id AND lower(l.merchant) = b.merchant_norm) AS reference_date FROM best b
     WHERE NOT EXISTS (SELECT 1 FROM commitments c WHERE c.owner_id = b.owner_id AND lower(c.merchant_norm) = b.merchant_norm AND c.direction = b.direction)""")
 def commitment_suggestions(x: Inputs) -> DataFrame:
-    subs = rec.subscriptions(x.stored, x.as_of, patterns=x.patterns)
-    return cm.suggestions(subs, rec.bills(x.patterns), income_merchants(x), x.stored, x.rules("commitments"))
+    subs = rec.subscriptions(x.last_400_days, x.as_of, patterns=x.patterns)
+    return cm.suggestions(subs, rec.bills(x.patterns), income_merchants(x), x.ledger, x.rules("commitments"))
 
 
 # --- plans and projections ---------------------------------------------------------------
@@ -292,7 +292,7 @@ _BUCKETED = f"""WITH p6 AS ({k.patterns_of(210)}),
 
 
 def _bucketed(x: Inputs) -> DataFrame:
-    return planner.bucketed_rows(x.stored, x.as_of)
+    return planner.bucketed_rows(x.last_400_days, x.as_of)
 
 
 @query("owner_id spending_bucket:text months monthly_avg_cents monthly_min_cents monthly_max_cents trend_percent:real predictability:real merchant_count transaction_count",
@@ -356,19 +356,19 @@ _UPCOMING = f"""WITH {_FIRST.replace("recurring_overrides", "(SELECT * FROM recu
 @query("owner_id merchant_norm:text expected_date:text amount_cents confidence:real source:text",
        _UPCOMING + " SELECT owner_id, merchant_norm, due AS expected_date, cents AS amount_cents, confidence, source FROM up")
 def upcoming_charges(x: Inputs) -> DataFrame:
-    subs = rec.subscriptions(x.stored, x.as_of, patterns=x.patterns)
+    subs = rec.subscriptions(x.last_400_days, x.as_of, patterns=x.patterns)
     return planner.upcoming_charges(None, subs, rec.bills(x.patterns), x.as_of)
 
 
 @query("owner_id merchant_norm:text expected_date:text amount_cents confidence:real source:text")
 def upcoming_charges_with_commitments(x: Inputs) -> DataFrame:
-    subs = rec.subscriptions(x.stored, x.as_of, patterns=x.patterns)
-    return planner.upcoming_charges(commitment_board(x), subs, rec.bills(x.patterns), x.as_of)
+    subs = rec.subscriptions(x.last_400_days, x.as_of, patterns=x.patterns)
+    return planner.upcoming_charges(x.board, subs, rec.bills(x.patterns), x.as_of)
 
 
 def _flow(x: Inputs, charges: DataFrame) -> DataFrame:
-    reports = pr.period_reports(pr.period_totals(x.typed), x.accounts, x.as_of, 3)
-    plan = planner.budget_plan(planner.bucketed_rows(x.stored, x.as_of, 3))
+    reports = pr.period_reports(x.month_totals, x.accounts, x.as_of, 3)
+    plan = planner.budget_plan(planner.bucketed_rows(x.last_400_days, x.as_of, 3))
     return planner.cash_flow(charges, planner.income_estimate(reports, commitment_totals(x)), planner.flexible_estimate(plan))
 
 
@@ -383,12 +383,12 @@ def cash_flow_projection(x: Inputs) -> DataFrame:
     SELECT m.owner_id, CASE WHEN s.income_cents > 0 THEN CAST(trunc(s.income_cents * 30 / 30) AS BIGINT) ELSE m.m END AS expected_income_cents
     FROM mean m LEFT JOIN sure s USING (owner_id)""")
 def income_estimate(x: Inputs) -> DataFrame:
-    reports = pr.period_reports(pr.period_totals(x.typed), x.accounts, x.as_of, 3)
+    reports = pr.period_reports(x.month_totals, x.accounts, x.as_of, 3)
     return planner.income_estimate(reports, commitment_totals(x))
 
 
 @query("owner_id alert_type:text severity:text alert_date:text amount_cents merchant_norm:text")
 def cash_flow_alerts(x: Inputs) -> DataFrame:
     charges = cut_lineage(upcoming_charges_with_commitments(x))
-    month = pr.period_totals(x.typed).filter("period_start = DATE '2001-11-01'")
+    month = x.month_totals.filter("period_start = DATE '2001-11-01'")
     return planner.cash_flow_alerts(cut_lineage(_flow(x, charges)), charges, pr.integrity(month), x.as_of)

@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.classify import category_texts
+from ..operators.commitments import commitment_board
+from ..operators.detectors import detector_rows
 from ..operators.recurring import merchant_patterns
-from ..operators.scan import posted_only
+from ..operators.scan import look_back, posted_only
 from ..plans import period_report as pr
 from ..session import cut_lineage, store
 from ..sources import driver_ledger, driver_rules
@@ -46,10 +48,25 @@ class Inputs:
         """The ledger as a table. Here it is a view over three tables, so plans that scan it often write it first."""
         return store(self.ledger)
 
+    @cached_property
+    def last_400_days(self) -> DataFrame:
+        """The look-back of the recurrence rules as a table."""
+        return store(look_back(self.ledger, self.as_of, 400))
+
+    @cached_property
+    def charges(self) -> DataFrame:
+        """The 60 days and the few columns that detectors read, cut once for all of them."""
+        return store(detector_rows(self.ledger, self.accounts, self.as_of))
+
     @cached_property
     def patterns(self) -> DataFrame:
         """Merchant patterns, computed once for the several rules that read them."""
-        return cut_lineage(merchant_patterns(self.stored, self.as_of))
+        return cut_lineage(merchant_patterns(self.last_400_days, self.as_of))
+
+    @cached_property
+    def board(self) -> DataFrame:
+        """Commitments with what was posted for them, computed once."""
+        return cut_lineage(commitment_board(self.rules("commitments"), self.ledger, self.as_of))
 
     @cached_property
     def event_ledger(self) -> DataFrame:
@@ -68,6 +85,11 @@ class Inputs:
     def typed(self) -> DataFrame:
         return pr.classified_ledger(self.ledger, self.accounts, with_categories=False)
 
+    @cached_property
+    def month_totals(self) -> DataFrame:
+        """Totals of every ledger and month by the rules alone, computed once."""
+        return cut_lineage(pr.period_totals(self.typed))
+
     def rules(self, name: str) -> DataFrame:
         sql = driver_rules.VIEWS[name]
         used = {}

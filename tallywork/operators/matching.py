@@ -39,23 +39,21 @@ def assign(candidates: DataFrame, score: Column, partner_order: Column, proposer
         "choice": F.struct(-score, partner_order),
         "turn": proposer_order,
     }).select("proposer", "partner", "proposer_n", "partner_n", "choice", "turn")
-    by_proposer, by_partner = Window.partitionBy("proposer"), Window.partitionBy("partner")
     live, settled, number = rows, [], 0
     while not live.isEmpty():
         number += 1
-        judged = live.withColumn("is_choice", F.col("choice") == F.min("choice").over(by_proposer))
-        judged = judged.withColumn(
-            "quantity",
-            F.when(F.col("is_choice") & (F.col("turn") == F.min("turn").over(by_partner)),
-                   F.least("proposer_n", "partner_n")).otherwise(F.lit(0)),
-        )
-        judged = judged.withColumn("partner_n", F.col("partner_n") - F.max("quantity").over(by_partner)).withColumn(
-            "proposer_n", F.col("proposer_n") - F.max("quantity").over(by_proposer)
-        )
-        judged = cut_lineage(judged.filter("quantity > 0 or (proposer_n > 0 and partner_n > 0)"))
-        settled.append(judged.filter("quantity > 0").select(
-            "proposer", "partner", F.col("quantity").alias("quantity"), F.lit(number).alias("round")))
-        live = judged.filter("proposer_n > 0 and partner_n > 0").drop("is_choice", "quantity")
+        # A popular lot's candidates are reduced by partial aggregation, never brought together in one task.
+        best = live.groupBy("proposer").agg(F.min("choice").alias("choice"))
+        first = live.groupBy("partner").agg(F.min("turn").alias("turn"))
+        chosen = live.join(best, ["proposer", "choice"]).join(first, ["partner", "turn"])
+        pairs = cut_lineage(chosen.select("proposer", "partner", F.least("proposer_n", "partner_n").alias("quantity"), F.lit(number).alias("round")))
+        settled.append(pairs)
+        # A lot settles with at most one other in a round, so each side has one row here.
+        taken = [pairs.select(side, F.col("quantity").alias(f"{side}_taken")) for side in ("proposer", "partner")]
+        live = live.join(taken[0], "proposer", "left").join(taken[1], "partner", "left")
+        for side in ("proposer", "partner"):
+            live = live.withColumn(f"{side}_n", F.col(f"{side}_n") - F.coalesce(f"{side}_taken", F.lit(0))).drop(f"{side}_taken")
+        live = cut_lineage(live.filter("proposer_n > 0 and partner_n > 0").select(*rows.columns))
     if not settled:
         return rows.select("proposer", "partner", F.lit(0).cast("bigint").alias("quantity"), F.lit(0).alias("round")).limit(0)
     result = settled[0]
@@ -94,12 +92,9 @@ def expand(settled: DataFrame, proposers: DataFrame, partners: DataFrame) -> Dat
     def units(rows: DataFrame, side: str) -> DataFrame:
         used = rows.join(settled.select(F.col(side).alias("lot")).distinct(), "lot", "left_semi")
         placed = numbered(used, "lot", "row_id").withColumnsRenamed({"lot": side, "row_id": f"{side}_row"})
-        first = F.col(f"{side}_from")
-        return (
-            placed.join(spans, side)
-            .filter((F.col("place") >= first) & (F.col("place") < first + F.col("quantity")))
-            .select("proposer", "partner", f"{side}_row", (F.col("place") - first).alias("unit"))
-        )
+        each = spans.select("proposer", "partner", F.col(f"{side}_from").alias("first"), F.explode(F.sequence(F.lit(0), F.col("quantity") - 1)).alias("unit"))
+        each = each.select("proposer", "partner", "unit", (F.col("first") + F.col("unit")).alias("place"))
+        return placed.join(each, [side, "place"]).select("proposer", "partner", f"{side}_row", "unit")
 
     return units(proposers, "proposer").join(units(partners, "partner"), ["proposer", "partner", "unit"]).drop("unit")
 
