@@ -164,15 +164,61 @@ def test_stream_ingest_and_late_rows(spark, make_ledger, tmp_path):
     source, target, late = str(tmp_path / "in"), str(tmp_path / "ledger"), str(tmp_path / "late")
     first = make_ledger([("chk", "2024-01-05", -100, "a"), ("chk", "2024-02-05", -200, "b")])
     first.unionByName(first).write.parquet(source)
-    jobs.ingest(jobs.read_rows(spark, source, first.schema), target, str(tmp_path / "c1")).awaitTermination()
-    assert spark.read.parquet(target).count() == 2
-    second = make_ledger([("chk", "2024-01-05", -100, "a"), ("chk", "2024-02-05", -200, "b"), ("chk", "2024-01-20", -300, "late")])
-    second.write.mode("append").parquet(source)
-    jobs.ingest(jobs.read_rows(spark, source, first.schema), target, str(tmp_path / "c1")).awaitTermination()
-    assert spark.read.parquet(target).count() == 3
+    stream = lambda: jobs.read_rows(spark, source, first.schema)
+    jobs.ingest(stream(), target, str(tmp_path / "c1")).awaitTermination()
+    assert jobs.current_ledger(spark, target).count() == 2
 
     closed = spark.createDataFrame([(1, "p1", dt.date(2024, 1, 1), dt.date(2024, 2, 1), None)],
                                    "owner_id long, closed_period_id string, period_start date, period_end date, account_filter array<string>")
     held = closing.close_fingerprints(closed, first)
-    jobs.late_row_feed(jobs.read_rows(spark, source, first.schema), closed, held, late, str(tmp_path / "c2")).awaitTermination()
+    second = make_ledger([("chk", "2024-01-05", -100, "a"), ("chk", "2024-02-05", -200, "b"), ("chk", "2024-01-20", -300, "late")])
+    for _ in range(2):  # sent twice, reported once
+        second.write.mode("append").parquet(source)
+        jobs.ingest(stream(), target, str(tmp_path / "c1")).awaitTermination()
+        jobs.late_row_feed(stream(), closed, held, late, str(tmp_path / "c2")).awaitTermination()
+    assert jobs.current_ledger(spark, target).count() == 3
     assert [r.fingerprint for r in spark.read.parquet(late).collect()] == ["f00002"]
+
+
+def test_stream_ingest_takes_updates(spark, make_ledger, tmp_path):
+    """A pending row posts with another date and amount, one posts unchanged, one has no source id."""
+    source, target = str(tmp_path / "in"), str(tmp_path / "ledger")
+    rows = [("chk", "2024-01-30", -100, "a"), ("chk", "2024-01-31", -200, "b"), ("chk", "2024-01-31", -300, "c")]
+    blank = lambda df: df.withColumn("source_txn_id", F.when(F.col("merchant") != "c", F.col("source_txn_id")))
+    first = blank(make_ledger(rows, pending=(0, 1)))
+    moved = blank(make_ledger([("chk", "2024-02-02", -120, "a"), *rows[1:]]).withColumn("updated_at", F.lit("2024-02-03").cast("timestamp")))
+    for batch in (first, moved):
+        batch.write.mode("append").parquet(source)
+        jobs.ingest(jobs.read_rows(spark, source, first.schema), target, str(tmp_path / "c")).awaitTermination()
+    got = sorted((r.merchant, str(r.posted_at), r.amount_cents, r.pending, str(r.created_at)) for r in jobs.current_ledger(spark, target).collect())
+    stamp = str(first.agg(F.max("updated_at")).first()[0])
+    assert got == [("a", "2024-02-02", -120, False, stamp), ("b", "2024-01-31", -200, False, stamp), ("c", "2024-01-31", -300, False, stamp)]
+
+
+def test_merge_knows_rows_without_fingerprint(spark, make_ledger):
+    ledger = make_ledger([("chk", "2024-01-05", -100, "a"), ("chk", "2024-01-06", -200, "b")]).withColumn("fingerprint", F.lit(None).cast("string"))
+    batch = ledger.filter("merchant = 'a'").withColumn("page_no", F.lit(1))
+    merged = merge.merge_ledger(ledger, batch, "2024-03-01 00:00:00", keys=["owner_id"])
+    assert {r.change for r in merged.collect()} == {"unchanged"} and merged.count() == 2
+
+
+def test_large_amounts_pass(spark, make_ledger):
+    """One charge of over ten million dollars among the others of a merchant."""
+    rows = [("chk", f"2024-0{m}-05", -5000, "a") for m in range(1, 6)] + [("chk", "2024-06-05", -150_000_000_000, "a")]
+    got = recurring.merchant_patterns(make_ledger(rows), "2024-06-30").collect()
+    assert len(got) == 1 and got[0].amount_max_cents == 150_000_000_000
+
+
+def test_search_counts_every_hit(spark, make_ledger, accounts):
+    rows = [("chk", f"2024-01-{d:02}", -100, "Netflix") for d in range(1, 21)] + [("card", "2024-01-25", -100, "netflix")] * 4
+    hits = scan.search(make_ledger(rows), accounts, "netflix", "2024-01-31", selected=["chk"], limit=5)
+    assert hits.count() == 5
+    assert [tuple(r) for r in scan.search_summary(hits, limit=5).collect()] == [(1, 20, 4, True)]
+
+
+def test_audit_log_limits_each_ledger(spark):
+    log = spark.createDataFrame([(o, "E", dt.datetime(2024, 1, 1, 0, k), "transaction", f"x{k}", "1") for o in (1, 2) for k in range(30)],
+                                "owner_id long, event_type string, timestamp timestamp, entity_type string, entity_id string, new_value string")
+    assert closing.audit_log(log).count() == 60
+    assert closing.audit_log(log, limit=7).groupBy("owner_id").count().filter("count = 7").count() == 2
+    assert closing.entity_history(log, "transaction", "x3").count() == 2
