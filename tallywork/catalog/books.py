@@ -247,7 +247,7 @@ def parsed_bank_rows(x: Inputs) -> DataFrame:
 
 
 @query("owner_id row_id:text error:text", f"""
-    SELECT owner_id, row_id, CASE error WHEN 'date' THEN 'Cannot parse date ''soon''' ELSE 'Cannot parse amount ''n/a''' END AS error FROM ({_PARSED}) AS p WHERE error IS NOT NULL""")
+    SELECT owner_id, row_id, CASE error WHEN 'date' THEN 'no date in ''soon''' ELSE 'no amount in ''n/a''' END AS error FROM ({_PARSED}) AS p WHERE error IS NOT NULL""")
 def rejected_bank_rows(x: Inputs) -> DataFrame:
     return bf.rejected(bf.parse_bank_rows(_bank_rows(x)))
 

@@ -136,25 +136,25 @@ def classify(rows: DataFrame) -> DataFrame:
         return F.concat(F.lit(words), *tail) if tail else F.lit(words)
 
     rules = [
-        (override.isNotNull(), override, "USER_OVERRIDE", 1.0, say("User override: ", override)),
-        (flag("is_paired"), TRANSFER, "TRANSFER_PAIR_MATCHED", 1.0, say("Matched transfer pair across accounts")),
+        (override.isNotNull(), override, "USER_OVERRIDE", 1.0, say("set by the user: ", override)),
+        (flag("is_paired"), TRANSFER, "TRANSFER_PAIR_MATCHED", 1.0, say("both legs of a transfer were found")),
         (refund_of.isNotNull() & credit, REFUND, "REFUND_MATCHED", 1.0,
-         say("Matched refund of expense ", F.substring(refund_of, 1, 8), F.lit("..."))),
+         say("gives back the charge ", F.substring(refund_of, 1, 8))),
         (credit & (hint == "NOT_INCOME"), CREDIT_OTHER, "USER_NOT_INCOME_RULE", 1.0,
-         say("User marked as not-income: ", value("hint_pattern"))),
+         say("the user rules out income from: ", value("hint_pattern"))),
         (credit & (hint == "INCOME"), INCOME, "USER_INCOME_RULE", 1.0,
-         say("User marked as income: ", value("hint_pattern"))),
+         say("the user counts as income: ", value("hint_pattern"))),
         (~credit & ~flag("is_card") & text.contains_any(m, kw.CARD_PAYMENT), TRANSFER, "TRANSFER_CC_PAYMENT", 0.95,
-         say("Credit card payment from checking")),
-        (flag("pattern_transfer"), TRANSFER, "TRANSFER_BANK_PATTERN", 0.9, say("Pattern marked as transfer")),
-        (transfer_word, TRANSFER, "TRANSFER_BANK_PATTERN", 0.8, say("Transfer keyword in: ", m)),
-        (credit & bank_to_bank(m), TRANSFER, "TRANSFER_BANK_PATTERN", 0.85, say("Bank-to-bank pattern detected")),
+         say("pays a card bill")),
+        (flag("pattern_transfer"), TRANSFER, "TRANSFER_BANK_PATTERN", 0.9, say("the merchant's pattern is a transfer")),
+        (transfer_word, TRANSFER, "TRANSFER_BANK_PATTERN", 0.8, say("transfer wording: ", m)),
+        (credit & bank_to_bank(m), TRANSFER, "TRANSFER_BANK_PATTERN", 0.85, say("moves between banks")),
         (credit & flag("is_card"), TRANSFER, "TRANSFER_CC_PAYMENT", 0.95,
-         say("Positive on credit card = payment received")),
-        (credit & text.contains_any(m, kw.REFUND), REFUND, "REFUND_KEYWORD", 0.7, say("Refund keyword in: ", m)),
-        (credit & text.contains_any(m, kw.PAYROLL), INCOME, "INCOME_PAYROLL", 0.9, say("Payroll keyword in: ", m)),
-        (credit, CREDIT_OTHER, "CREDIT_UNCLASSIFIED", 0.5, say("Unclassified positive - needs user review")),
-        (F.lit(True), EXPENSE, "EXPENSE_DEFAULT", 0.8, say("Default expense classification")),
+         say("money in on a card account")),
+        (credit & text.contains_any(m, kw.REFUND), REFUND, "REFUND_KEYWORD", 0.7, say("refund wording: ", m)),
+        (credit & text.contains_any(m, kw.PAYROLL), INCOME, "INCOME_PAYROLL", 0.9, say("payroll wording: ", m)),
+        (credit, CREDIT_OTHER, "CREDIT_UNCLASSIFIED", 0.5, say("money in of unknown kind, to be reviewed")),
+        (F.lit(True), EXPENSE, "EXPENSE_DEFAULT", 0.8, say("money out, nothing else applies")),
     ]
     reason = F.col("reason")
     return (

@@ -76,7 +76,7 @@ def duplicate_charges(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         .agg(F.min("account_name").alias("account_name"), F.min("raw_description").alias("raw_description"))
         .withColumn("amount_cents", F.abs("amount_cents"))
     )
-    said = F.concat(F.lit("Same charge "), _usd(F.col("amount_cents")), F.lit(" on "), F.col("first_day").cast("string"),
+    said = F.concat(F.lit("charged twice: "), _usd(F.col("amount_cents")), F.lit(" on "), F.col("first_day").cast("string"),
                     F.lit(" and "), F.col("posted_at").cast("string"))
     return _alert(pairs, "duplicate_charge", said, keys, "first_day")
 
@@ -99,7 +99,7 @@ def unusual_amounts(rows: DataFrame, patterns: DataFrame, keys: Sequence[str] =
 def test_charges(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Charges of one cent to one dollar."""
     found = rows.filter("amount_cents between -100 and -1").withColumn("amount_cents", F.abs("amount_cents"))
-    return _alert(found, "test_charge", F.concat(F.lit("Possible test/verification charge: "), _usd(F.col("amount_cents"))), keys)
+    return _alert(found, "test_charge", F.concat(F.lit("tiny charge, perhaps a card check: "), _usd(F.col("amount_cents"))), keys)
 
 
 def round_first_charges(rows: DataFrame, patterns: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -113,7 +113,7 @@ def round_first_charges(rows: DataFrame, patterns: DataFrame, keys: Sequence[str
         first.filter(F.col("amount_cents").isin([-c for c in ROUND_CENTS]))
         .join(known, merchant, "left_anti").withColumn("amount_cents", F.abs("amount_cents"))
     )
-    said = F.concat(F.lit("First charge from merchant is a round $"), F.format_string("%.0f", F.col("amount_cents") / 100))
+    said = F.concat(F.lit("new merchant starts with a round $"), F.format_string("%.0f", F.col("amount_cents") / 100))
     return _alert(found, "round_amount_spike", said, keys)
 
 
@@ -130,7 +130,7 @@ def rapid_fire(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         .agg(F.min_by(F.struct("posted_at", "charges", F.col("total").alias("amount_cents"), "shown"), "posted_at").alias("b"))
         .select(*merchant, "b.posted_at", "b.charges", "b.amount_cents", "b.shown.*")
     )
-    said = F.concat(F.col("charges").cast("string"), F.lit(" charges within 24h totaling "), _usd(F.col("amount_cents")))
+    said = F.concat(F.col("charges").cast("string"), F.lit(" charges within a day, together "), _usd(F.col("amount_cents")))
     return _alert(found, "rapid_fire", said, keys)
 
 
