@@ -9,6 +9,9 @@ of a task goes to windows of smaller powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -20,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import named
 
@@ -29,27 +33,57 @@ PIECES = ("doc_id string, start long, length long, ids_crc32 long, doc_tokens lo
 
 
 class WordIds(dict):
-    """Token ids, as little-endian bytes, of pieces of text between ASCII white space, each encoded once a task.
+    """Token ids, as little-endian bytes, of pieces of text between white space, each made once a task.
 
-    The tokenizer never joins text over white space, so the ids of a text are those of its pieces in turn."""
+    The tokenizer never joins text over white space, so the ids of a text are those of its pieces in turn. Nor does it
+    join a run of letters with the signs after it, so most pieces share their parts: letters go straight to the model,
+    in lower case and in its byte alphabet, and anything but plain letters and signs takes the whole tokenizer."""
 
     def __init__(self, vocabulary: str, most: int = 400_000):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
         self.tokenizer, self.most = Tokenizer.from_str(vocabulary), most
+        self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {}
+        alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): alphabet.pre_tokenize_str(c)[0][0] for c in _LETTERS.lower()}
 
     def of(self, text: str | None) -> bytes:
-        words = (text or "").translate(_SPACES).split(" ")
-        fresh = list({w for w in words if w not in self})
-        if fresh:
-            if len(self) > self.most:  # forgets what it can make again
-                self.clear()
-                fresh = list(set(words))
-            made = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            self.update((w, b"".join(i.to_bytes(4, "little") for i in e.ids)) for w, e in zip(fresh, made))
+        text = text or ""
+        if len(self) > self.most:  # forgets what it can make again
+            self.clear()
+            self.parts.clear()
+        words = text.split() if not _SEPARATORS.search(text) else _SPACES.split(text)
         return b"".join(map(self.__getitem__, words))
 
-
-_SPACES = {ord(c): " " for c in "\t\n\r\x0b\x0c"}
+    def __missing__(self, piece: str) -> bytes:
+        plain = _PLAIN.fullmatch(piece)
+        if not plain:
+            made = _packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        else:
+            word, signs = plain[1].lower(), plain[2]
+            made = self.parts.get(word)
+            if made is None:
+                made = self.parts[word] = _packed([t.id for t in self.model.tokenize(word.translate(self.letters))])
+            if signs:
+                tail = self.parts.get(signs)
+                if tail is None:
+                    tail = self.parts[signs] = _packed(self.tokenizer.encode(signs, add_special_tokens=False).ids)
+                made += tail
+        self[piece] = made
+        return made
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+#: Letters that are one letter in lower case and are never composed with others. Signs: ASCII ones but the apostrophe.
+_LETTERS = "".join(chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if c not in (0xD7, 0xDF, 0xF7, 0xFF))
+_PLAIN = re.compile(f"([{_LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")
+#: Characters that Python takes for white space and the tokenizer does not.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SPACES = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
 @dataclass
