@@ -163,10 +163,14 @@ def first_fit_pairs(
     return rows.select(*keys, F.col("proposer_row").alias("out_fingerprint"), F.col("partner_row").alias("in_fingerprint"))
 
 
-def visible_pairs(pairs: DataFrame, accounts: Sequence[str] | None) -> DataFrame:
-    """Pairs of which both legs are in the chosen accounts."""
+def visible_pairs(pairs: DataFrame, accounts: Sequence[str] | DataFrame | None) -> DataFrame:
+    """Pairs of which both legs are in the chosen accounts: ids, or a table with account_id."""
     if accounts is None:
         return pairs
+    if isinstance(accounts, DataFrame):
+        for side in ("out_account_id", "in_account_id"):
+            pairs = pairs.join(accounts.select(F.col("account_id").alias(side)), side, "left_semi")
+        return pairs
     chosen = list(accounts)
     return pairs.filter(F.col("out_account_id").isin(chosen) & F.col("in_account_id").isin(chosen))
 
