@@ -15,6 +15,7 @@ from ..operators.refunds import period_refund_matches
 from ..plans import dashboard, month_tools
 from ..plans import period_report as pr
 from . import check_sql as k
+from .matching import MONTH_LEGS, MONTH_REFUNDS
 from .registry import Inputs, query
 
 MONTH = "period_start:text"
@@ -224,16 +225,57 @@ def period_trends(x: Inputs) -> DataFrame:
     return pr.period_trends(pr.period_view(_reports(x)))
 
 
-@query(f"owner_id {MONTH} {TEN} fixed_obligations_cents variable_essentials_cents transaction_count net_cents")
+_FULL = f"""WITH legs AS MATERIALIZED {MONTH_LEGS}, refunded AS MATERIALIZED {MONTH_REFUNDS},
+    exact AS (SELECT owner_id, fingerprint, target_type FROM type_overrides WHERE fingerprint IS NOT NULL),
+    merchants AS (SELECT DISTINCT owner_id, merchant_norm FROM typed),
+    pats AS (SELECT t.owner_id, t.merchant_norm, arg_min(o.target_type, o.rule_order) AS target_type FROM merchants t JOIN type_overrides o ON o.owner_id = t.owner_id
+        AND o.fingerprint IS NULL AND contains(t.merchant_norm, lower(o.merchant_pattern)) GROUP BY 1, 2),
+    hints AS (SELECT t.owner_id, t.merchant_norm, min(r.rule_type) AS hint FROM merchants t JOIN merchant_rules r ON r.owner_id = t.owner_id
+        AND r.rule_type IN ('income', 'not_income') AND contains(t.merchant_norm, lower(r.merchant_pattern)) GROUP BY 1, 2),
+    judged AS (SELECT t.*, coalesce(e.target_type, o.target_type) AS set_type, l.fingerprint IS NOT NULL AS paired, q.is_recurring, q.is_habitual, q.cadence,
+        CASE WHEN e.target_type IS NOT NULL THEN e.target_type WHEN o.target_type IS NOT NULL THEN o.target_type WHEN l.fingerprint IS NOT NULL THEN 'TRANSFER'
+            WHEN r.fingerprint IS NOT NULL AND amount_cents > 0 THEN 'REFUND' WHEN amount_cents > 0 AND hint = 'not_income' THEN 'CREDIT_OTHER'
+            WHEN amount_cents > 0 AND hint = 'income' THEN 'INCOME' WHEN amount_cents <= 0 AND reason_code = 'TRANSFER_CC_PAYMENT' THEN 'TRANSFER'
+            WHEN q.is_transfer THEN 'TRANSFER' ELSE txn_type END AS kind
+        FROM typed t LEFT JOIN exact e ON e.owner_id = t.owner_id AND e.fingerprint = t.fingerprint
+        LEFT JOIN pats o ON o.owner_id = t.owner_id AND o.merchant_norm = t.merchant_norm LEFT JOIN hints h ON h.owner_id = t.owner_id AND h.merchant_norm = t.merchant_norm
+        LEFT JOIN legs l ON l.owner_id = t.owner_id AND l.fingerprint = t.fingerprint LEFT JOIN refunded r ON r.owner_id = t.owner_id AND r.fingerprint = t.fingerprint
+        LEFT JOIN patterns q ON q.owner_id = t.owner_id AND q.merchant_norm = t.merchant_norm),
+    bucketed AS (SELECT *, CASE WHEN kind <> 'EXPENSE' THEN '' WHEN set_type IS NOT NULL THEN 'other'
+        WHEN is_recurring AND cadence IN ('weekly', 'monthly', 'annual', 'biweekly', 'quarterly') THEN 'fixed' WHEN is_habitual THEN 'variable' ELSE 'other' END AS bucket FROM judged)"""
+
+
+@query(f"owner_id {MONTH} {TEN} fixed_obligations_cents variable_essentials_cents transaction_count net_cents", _FULL + """
+    SELECT *, income_cents + refunds_cents - fixed_obligations_cents - variable_essentials_cents - discretionary_cents AS net_cents FROM (
+        SELECT owner_id, month AS period_start, sum(CASE WHEN kind = 'INCOME' THEN amount_cents ELSE 0 END) AS income_cents,
+            sum(CASE WHEN bucket = 'fixed' THEN abs(amount_cents) ELSE 0 END) AS fixed_obligations_cents,
+            sum(CASE WHEN bucket = 'variable' THEN abs(amount_cents) ELSE 0 END) AS variable_essentials_cents,
+            sum(CASE WHEN bucket = 'other' THEN abs(amount_cents) ELSE 0 END) AS discretionary_cents,
+            sum(CASE WHEN kind = 'REFUND' THEN amount_cents ELSE 0 END) AS refunds_cents, sum(CASE WHEN kind = 'CREDIT_OTHER' THEN amount_cents ELSE 0 END) AS credits_other_cents,
+            sum(CASE WHEN kind = 'TRANSFER' AND amount_cents > 0 THEN amount_cents ELSE 0 END) AS transfers_in_cents,
+            sum(CASE WHEN kind = 'TRANSFER' AND amount_cents <= 0 THEN -amount_cents ELSE 0 END) AS transfers_out_cents, count(*) AS transaction_count
+        FROM bucketed GROUP BY owner_id, month) AS sums""")
 def full_period_report(x: Inputs) -> DataFrame:
     """Every input of the report: pairs and refunds per period, patterns, overrides, rules."""
+    return pr.period_totals(_full_rows(x))
+
+
+@query("owner_id fingerprint:text txn_type:text bucket:text paired:flag", _FULL + """
+    SELECT owner_id, fingerprint, kind AS txn_type, CASE WHEN kind = 'EXPENSE' AND set_type IS NULL THEN bucket END AS bucket, paired FROM bucketed""")
+def fully_classified_rows(x: Inputs) -> DataFrame:
+    """The rows behind the full report."""
+    names = {c.FIXED: "fixed", c.VARIABLE: "variable", c.DISCRETIONARY: "other"}
+    bucket = F.coalesce(*[F.when(F.col("spending_bucket") == name, F.lit(short)) for name, short in names.items()])
+    return _full_rows(x).withColumn("bucket", bucket).withColumn("paired", F.coalesce("is_paired", F.lit(False)))
+
+
+def _full_rows(x: Inputs) -> DataFrame:
     keyed = x.stored.withColumn("period_start", dates.period_start(F.col("posted_at")))
     pairs = transfer_pairs(keyed, keys=("owner_id", "period_start")).drop("period_start")
     refunds = period_refund_matches(x.stored).drop("period_start")
-    rows = pr.classified_ledger(
+    return pr.classified_ledger(
         x.stored, x.accounts, pairs=pairs, refunds=refunds, patterns=x.patterns,
         type_overrides=x.rules("type_overrides"), merchant_rules=x.rules("merchant_rules"), with_categories=False)
-    return pr.period_totals(rows)
 
 
 @query("owner_id period_start:text section:text merchant:text total_cents row_count", """
