@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from .common import held_out, labelled_sample, named
 
 #: Labelled documents that a fit sees at most.
-FIT_ROWS = 6_000
+FIT_ROWS = 4_000
 LANDMARKS = 192
 #: Weight of a skipped letter, and the steps from the first letter of a triple to the second and on to the third.
 DECAY, STEPS = 0.6, ((1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 2))
 LETTERS = 64
 LONGEST = 40
+WORDS_AT_ONCE = 2_000
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.\-*_]){3,}[^\W\d_](?!\S)")
 
@@ -70,14 +71,17 @@ def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel of every word with every landmark, 1 for equal words and 0 for those without a common triple."""
-    r, t, w = triples(words)
+    """Kernel of every word with every landmark, 1 for equal words and 0 for those without a common triple. Works in blocks of words."""
     lr, lt, lw = triples(landmarks)
-    out = np.zeros((len(words), len(landmarks)))
-    for k in range(len(landmarks)):
-        dense = np.zeros(LETTERS**3)
-        dense[lt[lr == k]] = lw[lr == k]
-        out[:, k] = np.bincount(r, w * dense[t], len(words))
+    known = np.unique(lt)
+    dense = np.zeros((len(known), len(landmarks)), np.float32)
+    dense[np.searchsorted(known, lt), lr] = lw
+    out = np.zeros((len(words), len(landmarks)), np.float32)
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        r, t, w = triples(words[at : at + WORDS_AT_ONCE])
+        place = np.minimum(np.searchsorted(known, t), max(len(known) - 1, 0))
+        shared = known[place] == t if len(known) else np.zeros(len(t), bool)
+        np.add.at(out[at : at + WORDS_AT_ONCE], r[shared], (w[shared, None] * dense[place[shared]]).astype(np.float32))
     return out
 
 
@@ -95,8 +99,9 @@ class Machine:
     def words(self, words: list[str]) -> np.ndarray:
         """Margin of each word, positive for toxic ones. Words of no triple get the bias."""
         out = np.full(len(words), self.bias, np.float64)
-        short = [i for i, w in enumerate(words) if len(w) <= LONGEST]
-        if short:
+        every = [i for i, w in enumerate(words) if len(w) <= LONGEST]
+        for at in range(0, len(every), WORDS_AT_ONCE):
+            short = every[at : at + WORDS_AT_ONCE]
             r, t, w = triples([words[i] for i in short])
             out[short] += np.bincount(r, w * self.weight[t], len(short))
         for i in (i for i, w in enumerate(words) if len(w) > LONGEST):  # the worst of its overlapping parts
@@ -123,7 +128,7 @@ def figures(margins: np.ndarray) -> list[float]:
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps. y is 1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
     w = np.zeros(x.shape[1])
     pull = ridge * np.eye(x.shape[1])
     pull[-1, -1] = 1e-3
@@ -150,23 +155,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
+def _words(text: str) -> set[str]:
+    return {c for c in map(clean, pieces(text)) if 2 <= len(c) <= LONGEST}
+
+
 def train(texts: Iterable[str], labels: Iterable[int]) -> Machine:
     """A machine from labelled texts. A text's label is weak evidence about its words: words seen clearly more often in toxic texts start as
     examples, then the worst words of toxic texts and of clean texts are added and the machine is trained again.
 
     With no rows or one class the machine gives the share of toxic rows to every text."""
-    y = np.array(list(labels), float)
-    split = [pieces(t) for t in texts]
-    words = [sorted({c for c in map(clean, p) if 2 <= len(c) <= LONGEST}) for p in split]
+    y, texts = np.array(list(labels), float), list(texts)
     toxic: Counter = Counter()
     other: Counter = Counter()
-    for w, label in zip(words, y):
-        (toxic if label else other).update(w)
+    for text, label in zip(texts, y):
+        (toxic if label else other).update(_words(text))
     n1, n0 = y.sum(), len(y) - y.sum()
     if not n1 or not n0:
         share = (n1 + 0.5) / (len(y) + 1)
         return Machine(np.zeros(LETTERS**3), -1.0, np.zeros(9), np.ones(9), np.zeros(9), float(np.log(share / (1 - share))))
-    vocabulary = sorted(toxic | other)
+    vocabulary = sorted(w for w in toxic | other if toxic[w] + other[w] > 1) or sorted(toxic | other)
     t, c = (np.array([count[w] for w in vocabulary], float) for count in (toxic, other))
     due = (t + c) * n1 / len(y)
     z = (t - due) / np.sqrt(due * n0 / len(y) + 0.5)
@@ -175,9 +182,10 @@ def train(texts: Iterable[str], labels: Iterable[int]) -> Machine:
     marks = list(dict.fromkeys([vocabulary[i] for i in by[: LANDMARKS // 2] if z[i] > 2] + [vocabulary[i] for i in often[: 40 * LANDMARKS : 40]]))[:LANDMARKS]
     values, vectors = np.linalg.eigh(kernel(marks, marks))
     keep = values > 1e-6
-    root = vectors[:, keep] / np.sqrt(values[keep])
+    root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
     features = kernel(vocabulary, marks) @ root
     place = {w: i for i, w in enumerate(vocabulary)}
+    words = [np.array(sorted(place[w] for w in _words(text) if w in place), np.int32) for text in texts]
     bad = set(np.flatnonzero((z > 3) & (t >= 3)).tolist()) or set(by[:10].tolist())
     good = set(often[:4000].tolist()) | set(np.flatnonzero(z < 0)[:: max(1, len(vocabulary) // 4000)].tolist())
     for turn in range(3):
@@ -190,10 +198,7 @@ def train(texts: Iterable[str], labels: Iterable[int]) -> Machine:
         margin = features @ w + bias
         if turn == 2:
             break
-        for doc, label in zip(words, y):
-            if not doc:
-                continue
-            ids = np.array([place[d] for d in doc])
+        for ids, label in zip(words, y):
             worst = ids[np.argsort(-margin[ids], kind="stable")[:2]]
             if label:
                 bad |= {int(i) for i in worst if margin[i] > -0.2 and z[i] > 0.5}
@@ -202,10 +207,12 @@ def train(texts: Iterable[str], labels: Iterable[int]) -> Machine:
     r, k, v = triples(marks)
     folded = np.bincount(k, v * (root @ w)[r], LETTERS**3)
     machine = Machine(folded, bias, np.zeros(9), np.ones(9), np.zeros(9), 0.0)
-    cache = dict(zip(vocabulary, machine.words(vocabulary).tolist()))
-    missing = sorted({c for p in split for c in map(clean, p)} - cache.keys())
-    cache.update(zip(missing, machine.words(missing).tolist()))
-    x = np.array([figures(np.array([cache[clean(p)] for p in doc])) for doc in split])
+    margins, rows = Margins(machine), []
+    for text in texts:
+        found = pieces(text)
+        margins.of([found])
+        rows.append(figures(np.fromiter(map(margins.__getitem__, found), np.float64, len(found))))
+    x = np.array(rows)
     machine.mean, machine.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     machine.text_weight, machine.text_bias = _logistic((x - machine.mean) / machine.scale, y)
     return machine
@@ -220,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
 class Margins(dict):
     """Margins of pieces of text, each computed once in a task."""
 
-    def __init__(self, machine: Machine, most: int = 500_000):
+    def __init__(self, machine: Machine, most: int = 300_000):
         super().__init__()
         self.machine, self.most = machine, most
 
@@ -229,9 +236,7 @@ class Margins(dict):
         if len(self) > self.most:
             self.clear()
         fresh = sorted({p for doc in found for p in doc if p not in self})
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            self.update(zip(part, self.machine.words([clean(p) for p in part]).tolist()))
+        self.update(zip(fresh, self.machine.words([clean(p) for p in fresh]).tolist()))
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
