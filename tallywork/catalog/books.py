@@ -16,7 +16,9 @@ from ..session import store
 from ..sinks import exports
 from ..sources import bank_files as bf
 from . import check_sql as k
+from .recurrence import STRICT_CHECK
 from .registry import Inputs, query
+from .reports import trends_check
 
 NOW = "2001-11-05 00:00:00"
 
@@ -66,7 +68,9 @@ def month_close(x: Inputs) -> DataFrame:
     return closing.month_close(x.ledger)
 
 
-@query("owner_id month:text checksum:text")
+@query("owner_id month:text checksum:text", """
+    SELECT owner_id, CAST(date_trunc('month', posted_at) AS DATE) AS month,
+        CAST(sum(CAST('0x' || left(sha1(posted_at || '|' || amount_cents || '|' || coalesce(fingerprint, '')), 15) AS HUGEINT)) AS VARCHAR) AS checksum FROM ledger GROUP BY 1, 2""")
 def month_checksums(x: Inputs) -> DataFrame:
     return closing.month_close(x.ledger)
 
@@ -363,7 +367,9 @@ def export_transactions(x: Inputs) -> DataFrame:
     return exports.transactions(x.ledger, x.as_of)
 
 
-@query("owner_id payee_norm:text monthly_est_cents status:text note:text handled_at:text")
+@query("owner_id payee_norm:text monthly_est_cents status:text note:text handled_at:text", f"""
+    SELECT s.owner_id, label AS payee_norm, monthly_est_cents, coalesce(status, '') AS status, CASE WHEN note LIKE '=%' THEN '''' || note ELSE coalesce(note, '') END AS note,
+        coalesce(CAST(handled_at AS VARCHAR), '') AS handled_at FROM ({STRICT_CHECK}) AS s LEFT JOIN watchlist w ON w.owner_id = s.owner_id AND w.payee_norm = s.label""")
 def export_actions(x: Inputs) -> DataFrame:
     return exports.actions(rec.strict_candidates(x.last_400_days, x.as_of), x.rules("watchlist"))
 
@@ -385,7 +391,11 @@ def export_subscriptions(x: Inputs) -> DataFrame:
     return exports.subscriptions(rec.subscriptions(x.last_400_days, x.as_of, patterns=x.patterns, duplicate_members=members))
 
 
-@query("owner_id period:text start_date:text end_date:text income_usd:text net_usd:text income_trend:text")
+@query("owner_id period:text start_date:text end_date:text income_usd:text net_usd:text income_trend:text", f"""
+    WITH t AS (SELECT * FROM ({trends_check("(SELECT * FROM reports WHERE period_start BETWEEN DATE '2001-07-01' AND DATE '2001-09-01')")}) AS t)
+    SELECT r.owner_id, strftime(r.period_start, '%b %Y') AS period, r.period_start AS start_date, CAST(r.period_start + INTERVAL 1 MONTH AS DATE) AS end_date,
+        CAST(CAST(r.income_cents / 100.0 AS DECIMAL(18, 2)) AS VARCHAR) AS income_usd, CAST(CAST(r.net_cents / 100.0 AS DECIMAL(18, 2)) AS VARCHAR) AS net_usd, income_trend
+    FROM recent r JOIN t ON t.owner_id = r.owner_id AND t.period_start = r.period_start""".replace("FROM recent r", "FROM (SELECT * FROM reports WHERE period_start BETWEEN DATE '2001-07-01' AND DATE '2001-09-01') r"))
 def export_period_summary(x: Inputs) -> DataFrame:
     return exports.period_summary(pr.period_trends(pr.period_view(_reports(x))))
 

@@ -186,11 +186,11 @@ _MONTH_KEY = "owner_id || '#' || CAST(CAST(date_trunc('month', posted_at) AS DAT
 _KEYED = f"keyed AS (SELECT * REPLACE ({_MONTH_KEY} AS owner_id) FROM posted)"
 _SERVED = """served AS (SELECT p.* REPLACE (p.owner_id || '#' || CAST(CAST(m AS DATE) AS VARCHAR) AS owner_id) FROM posted p,
     unnest(generate_series(CAST(date_trunc('month', posted_at) AS TIMESTAMP), CAST(posted_at + 90 AS TIMESTAMP), INTERVAL 1 MONTH)) AS u(m) WHERE amount_cents < 0)"""
-_MONTH_PAIRS = _PAIRS.replace("WITH legs", f"WITH {_KEYED}, legs").replace("FROM posted WHERE", "FROM keyed WHERE")
+MONTH_PAIRS = _PAIRS.replace("WITH legs", f"WITH {_KEYED}, legs").replace("FROM posted WHERE", "FROM keyed WHERE")
 _MONTH_MATCHES = (
     _MATCHES.replace("WITH names", f"WITH {_KEYED}, {_SERVED}, sides AS (SELECT * FROM keyed WHERE amount_cents > 0 UNION ALL SELECT * FROM served), names")
     .replace("FROM posted WHERE amount_cents > 0)", "FROM keyed WHERE amount_cents > 0)").replace("FROM posted WHERE amount_cents < 0)", "FROM served)")
     .replace("FROM posted WHERE amount_cents <> 0)", "FROM sides)"))
-MONTH_LEGS = f"""({_MONTH_PAIRS} SELECT CAST(split_part(owner_id, '#', 1) AS BIGINT) AS owner_id, first_fp AS fingerprint FROM pairs
+MONTH_LEGS = f"""({MONTH_PAIRS} SELECT CAST(split_part(owner_id, '#', 1) AS BIGINT) AS owner_id, first_fp AS fingerprint FROM pairs
     UNION SELECT CAST(split_part(owner_id, '#', 1) AS BIGINT), second_fp FROM pairs)"""
 MONTH_REFUNDS = f"({_MONTH_MATCHES} SELECT DISTINCT CAST(split_part(owner_id, '#', 1) AS BIGINT) AS owner_id, first_fp AS fingerprint FROM matches)"

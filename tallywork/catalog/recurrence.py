@@ -112,7 +112,10 @@ _STRICT = ("owner_id label:text occurrences cadence_guess:text amount_median_cen
            "next_expected:text confidence:real")
 
 
-@query(_STRICT, _strict_check(False))
+STRICT_CHECK = _strict_check(False)
+
+
+@query(_STRICT, STRICT_CHECK)
 def strict_candidates(x: Inputs) -> DataFrame:
     return rec.strict_candidates(x.ledger, x.as_of)
 

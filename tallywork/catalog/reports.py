@@ -9,13 +9,14 @@ from ..functions import dates, labels, money, text
 from ..lexicon.categories import CATEGORIES, NOT_SPENDING, REFUNDABLE
 from ..operators import classify as c
 from ..operators import scan
-from ..operators.pairing import transfer_pairs, unmatched_legs
+from ..operators.pairing import transfer_pairs
 from ..operators.recurring import bills
 from ..operators.refunds import period_refund_matches
 from ..plans import dashboard, month_tools
 from ..plans import period_report as pr
+from ..session import cut_lineage
 from . import check_sql as k
-from .matching import MONTH_LEGS, MONTH_REFUNDS
+from .matching import MONTH_LEGS, MONTH_PAIRS, MONTH_REFUNDS
 from .registry import Inputs, query
 
 MONTH = "period_start:text"
@@ -209,10 +210,11 @@ def period_views(x: Inputs) -> DataFrame:
     return pr.period_view(_reports(x))
 
 
-@query(f"owner_id {MONTH} avg_income_cents avg_discretionary_cents prev_income_cents income_trend:text discretionary_trend:text", """
+def trends_check(reports: str) -> str:
+    return f"""
     WITH w AS (SELECT owner_id, period_start, income_cents, discretionary_cents,
         sum(income_cents) OVER r // count(*) OVER r AS avg_income_cents, sum(discretionary_cents) OVER r // count(*) OVER r AS avg_discretionary_cents,
-        lag(income_cents) OVER o AS prev_income_cents, lag(discretionary_cents) OVER o AS prev_discretionary FROM reports
+        lag(income_cents) OVER o AS prev_income_cents, lag(discretionary_cents) OVER o AS prev_discretionary FROM {reports} AS p
         WINDOW o AS (PARTITION BY owner_id ORDER BY period_start), r AS (PARTITION BY owner_id ORDER BY period_start ROWS 2 PRECEDING))
     SELECT *, CASE WHEN prev_income_cents IS NULL THEN 'stable' WHEN prev_income_cents = 0 THEN CASE WHEN income_cents = 0 THEN 'stable' ELSE 'up' END
         WHEN (income_cents - prev_income_cents) / CAST(abs(prev_income_cents) AS DOUBLE) > 0.05 THEN 'up'
@@ -220,7 +222,10 @@ def period_views(x: Inputs) -> DataFrame:
         CASE WHEN prev_discretionary IS NULL THEN 'stable' WHEN prev_discretionary = 0 THEN CASE WHEN discretionary_cents = 0 THEN 'stable' ELSE 'up' END
         WHEN (discretionary_cents - prev_discretionary) / CAST(abs(prev_discretionary) AS DOUBLE) > 0.05 THEN 'up'
         WHEN (discretionary_cents - prev_discretionary) / CAST(abs(prev_discretionary) AS DOUBLE) < -0.05 THEN 'down' ELSE 'stable' END AS discretionary_trend
-    FROM w""")
+    FROM w"""
+
+
+@query(f"owner_id {MONTH} avg_income_cents avg_discretionary_cents prev_income_cents income_trend:text discretionary_trend:text", trends_check("reports"))
 def period_trends(x: Inputs) -> DataFrame:
     return pr.period_trends(pr.period_view(_reports(x)))
 
@@ -325,14 +330,64 @@ def integrity_scores(x: Inputs) -> DataFrame:
     return pr.integrity(pr.period_totals(x.typed)).withColumn("flags", F.to_json("flags"))
 
 
-@query("owner_id period_start:text task_type:text priority affected_cents priority_label:text")
+@query("owner_id period_start:text task_type:text priority affected_cents priority_label:text", _FULL + """,
+    credits AS (SELECT owner_id, month, sum(amount_cents) AS cents FROM bucketed WHERE kind = 'CREDIT_OTHER' GROUP BY 1, 2),
+    loose AS (SELECT owner_id, month FROM bucketed WHERE amount_cents <> 0 AND NOT paired GROUP BY 1, 2)
+    SELECT owner_id, month AS period_start, 'CLASSIFY_CREDIT' AS task_type, 1 AS priority, cents AS affected_cents, 'Critical' AS priority_label FROM credits
+    UNION ALL SELECT owner_id, month, 'MATCH_TRANSFER', 2, 0, 'High' FROM loose""")
 def resolution_tasks(x: Inputs) -> DataFrame:
-    """With unmatched legs, as the report counts them."""
-    month = ("owner_id", "period_start")
+    """Of the full report, with unmatched legs counted."""
+    month = ["owner_id", "period_start"]
+    rows = cut_lineage(_full_rows(x).withColumn("period_start", dates.period_start(F.col("posted_at"))))
+    counts = rows.filter("amount_cents <> 0 and is_paired is null").groupBy(*month).agg(F.count("*").alias("unmatched_transfer_count"))
+    return pr.resolution_tasks(pr.integrity(pr.period_totals(rows).join(counts, month, "left")))
+
+
+# --- an account filter from rows to flags ---------------------------------------------------
+
+_CHOSEN = "NOT ends_with({}, '-2')"
+_FILTERED = f"""WITH shown AS MATERIALIZED ({MONTH_PAIRS} SELECT CAST(split_part(owner_id, '#', 1) AS BIGINT) AS owner_id, first_fp, second_fp FROM pairs
+        WHERE {_CHOSEN.format('out_account_id')} AND {_CHOSEN.format('in_account_id')}),
+    ends AS (SELECT owner_id, first_fp AS fingerprint FROM shown UNION SELECT owner_id, second_fp FROM shown),
+    filtered AS (SELECT t.*, CASE WHEN e.fingerprint IS NOT NULL THEN 'TRANSFER' ELSE txn_type END AS kind FROM typed t
+        LEFT JOIN ends e ON e.owner_id = t.owner_id AND e.fingerprint = t.fingerprint WHERE {_CHOSEN.format('account_id')})"""
+
+
+def _chosen(x: Inputs) -> DataFrame:
+    return x.accounts.filter("not endswith(account_id, '-2')").select("account_id")
+
+
+def _filtered_rows(x: Inputs) -> DataFrame:
     keyed = x.stored.withColumn("period_start", dates.period_start(F.col("posted_at")))
-    open_legs = unmatched_legs(keyed, transfer_pairs(keyed, keys=month), month)
-    counts = open_legs.groupBy(*month).agg(F.count("*").alias("unmatched_transfer_count"))
-    return pr.resolution_tasks(pr.integrity(pr.period_totals(x.typed).join(counts, list(month), "left")))
+    pairs = transfer_pairs(keyed, keys=("owner_id", "period_start")).drop("period_start")
+    return pr.classified_ledger(x.stored, x.accounts, pairs=pairs, accounts=_chosen(x), with_categories=False)
+
+
+@query(f"owner_id {MONTH} income_cents discretionary_cents transfers_in_cents transfers_out_cents transaction_count flags:text", _FILTERED + """
+    SELECT owner_id, month AS period_start, sum(CASE WHEN kind = 'INCOME' THEN amount_cents ELSE 0 END) AS income_cents,
+        sum(CASE WHEN kind = 'EXPENSE' THEN abs(amount_cents) ELSE 0 END) AS discretionary_cents,
+        sum(CASE WHEN kind = 'TRANSFER' AND amount_cents > 0 THEN amount_cents ELSE 0 END) AS transfers_in_cents,
+        sum(CASE WHEN kind = 'TRANSFER' AND amount_cents <= 0 THEN -amount_cents ELSE 0 END) AS transfers_out_cents, count(*) AS transaction_count,
+        CASE WHEN max(CASE WHEN kind = 'CREDIT_OTHER' THEN 1 ELSE 0 END) = 1 THEN '["UNCLASSIFIED_CREDIT"]' ELSE '[]' END AS flags FROM filtered GROUP BY 1, 2""")
+def account_filtered_report(x: Inputs) -> DataFrame:
+    """Only the chosen accounts; a pair with a leg elsewhere is no pair here."""
+    return pr.integrity(pr.period_totals(_filtered_rows(x)), _chosen(x)).withColumn("flags", F.to_json("flags"))
+
+
+@query("owner_id fingerprint:text amount_cents txn_type:text", _FILTERED + " SELECT owner_id, fingerprint, amount_cents, kind AS txn_type FROM filtered WHERE kind = 'TRANSFER'")
+def account_filtered_transfers(x: Inputs) -> DataFrame:
+    """The rows behind the transfer totals of the filtered report."""
+    return _filtered_rows(x).filter(F.col("txn_type") == c.TRANSFER)
+
+
+@query("owner_id period_start:text flags:text score:real transaction_count", """
+    SELECT DISTINCT owner_id, DATE '2001-09-01' AS period_start, '["EMPTY_ACCOUNT_FILTER"]' AS flags, 1.0 AS score, 0 AS transaction_count FROM accounts""")
+def empty_account_choice(x: Inputs) -> DataFrame:
+    """Every ledger's September under a choice of no account: zeros and a flag."""
+    none = x.accounts.limit(0).select("account_id")
+    rows = pr.classified_ledger(x.ledger, x.accounts, accounts=none, with_categories=False)
+    reports = pr.period_reports(pr.period_totals(rows), x.accounts, "2001-09-30", 1)
+    return pr.integrity(reports, none).withColumn("flags", F.to_json("flags"))
 
 
 # --- categories ---------------------------------------------------------------------------

@@ -21,10 +21,12 @@ def posted_only() -> Column:
     return ~F.coalesce(F.col("pending"), F.lit(False))
 
 
-def for_accounts(ledger: DataFrame, accounts: Sequence[str] | None) -> DataFrame:
-    """None keeps all rows; an empty choice keeps none."""
+def for_accounts(ledger: DataFrame, accounts: Sequence[str] | DataFrame | None) -> DataFrame:
+    """None keeps all rows; an empty choice keeps none. A choice is a list of ids, or a table with account_id."""
     if accounts is None:
         return ledger
+    if isinstance(accounts, DataFrame):
+        return ledger.join(accounts.select("account_id").distinct(), "account_id", "left_semi")
     return ledger.filter(F.col("account_id").isin(list(accounts)) if accounts else F.lit(False))
 
 

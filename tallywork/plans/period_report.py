@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, labels, money, text
 from ..lexicon.categories import NOT_SPENDING
 from ..operators import classify as c
-from ..operators.pairing import pair_legs
+from ..operators.pairing import pair_legs, visible_pairs
 from ..operators.recurring import pattern_flags
 from ..operators.scan import KEYS, for_accounts, posted_only, with_merchant_norm
 
@@ -32,13 +32,15 @@ def classified_ledger(
     merchant_rules: DataFrame | None = None,
     category_overrides: DataFrame | None = None,
     texts: DataFrame | None = None,
-    accounts: Sequence[str] | None = None,
+    accounts: Sequence[str] | DataFrame | None = None,
     include_pending: bool = False,
     with_categories: bool = True,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """The ledger with type, bucket, category, reason and transfer status of every row.
 
+    With `accounts`, only their rows, and only pairs of which both legs are among them.
+
     Pairs and refunds are optional inputs. With patterns, subscriptions become
     fixed obligations and habitual merchants variable essentials; without, all
     spending is discretionary. `texts` is the stored table of category_texts.
@@ -46,7 +48,7 @@ def classified_ledger(
     rows = ledger if include_pending else ledger.filter(posted_only())
     rows = c.with_card_flag(with_merchant_norm(for_accounts(rows, accounts)), accounts_dim)
     if pairs is not None:
-        legs = pair_legs(pairs, keys).select(*keys, "fingerprint", "pair_id", F.lit(True).alias("is_paired"))
+        legs = pair_legs(visible_pairs(pairs, accounts), keys).select(*keys, "fingerprint", "pair_id", F.lit(True).alias("is_paired"))
         rows = rows.join(legs, [*keys, "fingerprint"], "left")
     if refunds is not None:
         paid = refunds.select(*keys, F.col("refund_fingerprint").alias("fingerprint"), F.col("expense_fingerprint").alias("refund_of"))
@@ -239,8 +241,8 @@ PENALTIES = {
 ACTIONABLE = 0.8
 
 
-def integrity(counts: DataFrame) -> DataFrame:
-    """Adds flags, score, actionable and badge.
+def integrity(counts: DataFrame, accounts: Sequence[str] | DataFrame | None = None) -> DataFrame:
+    """Adds flags, score, actionable and badge; an account choice that is there but empty has a flag of its own.
 
     Reads unclassified_credit_count, unmatched_transfer_count,
     duplicate_suspect_count and reconciliation_delta_cents; absent ones count 0.
@@ -253,6 +255,7 @@ def integrity(counts: DataFrame) -> DataFrame:
         "UNMATCHED_TRANSFER": n("unmatched_transfer_count") > 0,
         "DUPLICATE_SUSPECTED": n("duplicate_suspect_count") > 0,
         "RECONCILIATION_FAILED": F.abs(n("reconciliation_delta_cents")) > 100,
+        "EMPTY_ACCOUNT_FILTER": F.lit(accounts is not None and (accounts.isEmpty() if isinstance(accounts, DataFrame) else not accounts)),
     }
     flags = F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in raised.items()]))
     penalty = F.lit(0.0)

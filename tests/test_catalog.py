@@ -10,7 +10,8 @@ from tallywork.catalog import CATALOG
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ["customer", "orders", "lineitem", "events"]
 SAMPLE = ["period_totals", "monthly_reports", "classified_rows", "merchant_patterns", "transfer_candidates", "alert_feed",
-          "statement_reconciliation", "month_close", "ledger_merge", "parsed_bank_rows", "commitment_board", "spending_plan"]
+          "statement_reconciliation", "month_close", "ledger_merge", "parsed_bank_rows", "commitment_board", "spending_plan",
+          "transfer_pairs", "refund_matches", "full_period_report", "account_filtered_report", "empty_account_choice", "transaction_search", "audit_log"]
 
 pytestmark = pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="driver tables are absent")
 
