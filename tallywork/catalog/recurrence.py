@@ -52,6 +52,9 @@ _SECOND = f"""hist AS (SELECT n.owner_id, n.merchant_norm, count(*) AS n, CAST(t
         WHEN usual = 'annual' THEN 'annual' ELSE 'monthly' END AS cadence FROM open_hist)"""
 
 
+SUBSCRIBED = ", ".join(part.replace("recurring_overrides", "(SELECT * FROM recurring_overrides WHERE FALSE)") for part in (_FIRST, _SECOND))
+
+
 @query(f"{CLASS_COLUMNS} monthly_cents cadence:text first_seen:text last_seen:text is_known_service:flag display_name:text charge_cents",
        f"""WITH {_FIRST}, {_SECOND}
     SELECT owner_id, merchant_norm, monthly_cents, cadence, first_seen, last_seen, display_name IS NOT NULL AS is_known_service, display_name, charge_cents FROM first

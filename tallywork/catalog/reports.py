@@ -10,12 +10,14 @@ from ..lexicon.categories import CATEGORIES, NOT_SPENDING, REFUNDABLE
 from ..operators import classify as c
 from ..operators import scan
 from ..operators.pairing import transfer_pairs
+from ..operators import recurring as rec
 from ..operators.recurring import bills
 from ..operators.refunds import period_refund_matches
 from ..plans import dashboard, month_tools
 from ..plans import period_report as pr
 from ..session import cut_lineage
 from . import check_sql as k
+from .recurrence import SUBSCRIBED
 from .matching import MONTH_LEGS, MONTH_PAIRS, MONTH_REFUNDS
 from .registry import Inputs, query
 
@@ -343,6 +345,28 @@ def resolution_tasks(x: Inputs) -> DataFrame:
     return pr.resolution_tasks(pr.integrity(pr.period_totals(rows).join(counts, month, "left")))
 
 
+_IN_SCOPE = {
+    "income": ("kind = 'INCOME'", "amount_cents"), "spend": ("kind IN ('EXPENSE', 'REFUND')", "CASE WHEN kind = 'REFUND' THEN -amount_cents ELSE abs(amount_cents) END"),
+    "recurring": ("bucket = 'fixed'", "abs(amount_cents)"), "discretionary": ("bucket = 'variable' OR (bucket = 'other' AND set_type IS NULL)", "abs(amount_cents)"),
+    "net": ("kind NOT IN ('TRANSFER', 'CREDIT_OTHER')", "CASE WHEN kind = 'EXPENSE' THEN -abs(amount_cents) ELSE amount_cents END"),
+    "credit_other": ("kind = 'CREDIT_OTHER'", "amount_cents"), "unmatched_transfers": ("kind = 'TRANSFER' AND NOT paired", "amount_cents"),
+    "transfer": ("kind = 'TRANSFER'", "abs(amount_cents)"), "merchant:netflix.com": ("merchant_norm = 'netflix.com'", "abs(amount_cents)"),
+}
+
+
+@query("owner_id period_start:text scope:text row_count scope_total_cents excluded_transfer_count excluded_credit_count", _FULL + " UNION ALL ".join(f"""
+    SELECT owner_id, month AS period_start, '{name}' AS scope, count(CASE WHEN {inside} THEN 1 END) AS row_count, sum(CASE WHEN {inside} THEN {value} ELSE 0 END) AS scope_total_cents,
+        count(CASE WHEN NOT ({inside}) AND kind = 'TRANSFER' THEN 1 END) AS excluded_transfer_count,
+        count(CASE WHEN NOT ({inside}) AND kind = 'CREDIT_OTHER' THEN 1 END) AS excluded_credit_count FROM bucketed GROUP BY 1, 2""" for name, (inside, value) in _IN_SCOPE.items()))
+def drill_down_scopes(x: Inputs) -> DataFrame:
+    """Every scope of the full report."""
+    rows, every = cut_lineage(_full_rows(x)), None
+    for scope in _IN_SCOPE:
+        part = pr.drill_down_totals(rows, scope).withColumn("scope", F.lit(scope))
+        every = part if every is None else every.unionByName(part)
+    return every
+
+
 # --- an account filter from rows to flags ---------------------------------------------------
 
 _CHOSEN = "NOT ends_with({}, '-2')"
@@ -429,15 +453,20 @@ def top_merchants(x: Inputs) -> DataFrame:
     return pr.top_merchants(x.ledger)
 
 
-@query("owner_id merchant_norm:text status:text", """
-    WITH top AS (SELECT owner_id, merchant_norm, sum(-amount_cents) AS total_cents,
+@query("owner_id merchant_norm:text status:text", f"""
+    WITH {SUBSCRIBED}, top AS (SELECT owner_id, merchant_norm, sum(-amount_cents) AS total_cents,
         row_number() OVER (PARTITION BY owner_id ORDER BY total_cents DESC, merchant_norm) AS place
-        FROM posted WHERE amount_cents < 0 GROUP BY owner_id, merchant_norm QUALIFY place <= 20)
-    SELECT t.owner_id, t.merchant_norm, CASE WHEN b.merchant_norm IS NULL THEN 'untracked' ELSE 'tracked' END AS status
-    FROM top t LEFT JOIN (SELECT owner_id, merchant_norm FROM classes WHERE is_recurring AND NOT is_transfer AND pattern_class IN ('utility', 'insurance')) b
-        USING (owner_id, merchant_norm)""")
+        FROM posted WHERE amount_cents < 0 GROUP BY owner_id, merchant_norm QUALIFY place <= 20),
+    listed AS (SELECT owner_id, merchant_norm FROM first UNION SELECT owner_id, merchant_norm FROM second
+        UNION SELECT owner_id, merchant_norm FROM classes WHERE is_recurring AND NOT is_transfer AND pattern_class IN ('utility', 'insurance')),
+    again AS (SELECT owner_id, merchant_norm FROM patterns WHERE is_recurring)
+    SELECT t.owner_id, t.merchant_norm, CASE WHEN b.merchant_norm IS NOT NULL THEN 'tracked' WHEN a.merchant_norm IS NOT NULL THEN 'recurring' ELSE 'untracked' END AS status
+    FROM top t LEFT JOIN listed b USING (owner_id, merchant_norm) LEFT JOIN again a USING (owner_id, merchant_norm)""")
 def merchant_tracking(x: Inputs) -> DataFrame:
-    return pr.with_tracking(pr.top_merchants(x.ledger), bills(x.patterns))
+    """On a subscription or bill list, recurring without being on one, or neither."""
+    subs = rec.subscriptions(x.last_400_days, x.as_of, patterns=x.patterns)
+    listed = subs.select("owner_id", "merchant_norm").union(bills(x.patterns).select("owner_id", "merchant_norm"))
+    return pr.with_tracking(pr.top_merchants(x.ledger), listed, x.patterns.filter("is_recurring"))
 
 
 _OCTOBER = "period_start = DATE '2001-10-01'"

@@ -369,11 +369,15 @@ def top_merchants(
     return sums.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 
 
-def with_tracking(merchants: DataFrame, recurring: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Marks merchants that are on the subscription or bill list."""
-    known = recurring.select(*keys, "merchant_norm", F.lit("tracked").alias("status")).distinct()
-    return merchants.join(known, [*keys, "merchant_norm"], "left").withColumn(
-        "status", F.coalesce("status", F.lit("untracked")))
+def with_tracking(merchants: DataFrame, listed: DataFrame, recurring: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Status of merchants: tracked on a subscription or bill list, recurring without being listed, or untracked."""
+    def marked(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*keys, "merchant_norm", F.lit(name).alias(name)).distinct()
+
+    rows = merchants.join(marked(listed, "tracked"), [*keys, "merchant_norm"], "left")
+    rows = rows.withColumn("recurring", F.lit(None).cast("string")) if recurring is None else rows.join(
+        marked(recurring, "recurring"), [*keys, "merchant_norm"], "left")
+    return rows.withColumn("status", F.coalesce("tracked", "recurring", F.lit("untracked"))).drop("tracked", "recurring")
 
 
 def budget_status(breakdown: DataFrame, targets: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
