@@ -45,7 +45,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def store(df: DataFrame) -> DataFrame:
-    """The rows as a table written to the shared folder, for plans that read them many times."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    """The rows as a table written to the shared folder, for plans that read them many times.
+
+    All tables of an application lie in one folder named after it, which its owner clears when it has ended.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tables/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
