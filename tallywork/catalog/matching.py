@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lexicon.categories import NOT_SPENDING, REFUNDABLE
 from ..operators import detectors as det
 from ..operators import pairing, refunds
 from ..plans import period_report as pr
@@ -159,7 +160,18 @@ def unmatched_refunds(x: Inputs) -> DataFrame:
     return refunds.unmatched_refunds(x.stored, refunds.refund_matches(x.stored))
 
 
-@query("owner_id category:text gross_cents refund_cents net_cents")
+_FOUND = k.category("lower(merchant_norm || ' ' || coalesce(description, ''))")
+
+
+@query("owner_id category:text gross_cents refund_cents net_cents", _MATCHES + f""",
+    judged AS (SELECT owner_id, date_trunc('month', posted_at) AS month, amount_cents, fingerprint, {_FOUND} AS found FROM norm),
+    named AS (SELECT *, CASE WHEN amount_cents <= 0 OR found IN {k.names(REFUNDABLE)} OR found = 'income' THEN found ELSE 'one_time_deposit' END AS category FROM judged),
+    monthly AS (SELECT owner_id, category, sum(CASE WHEN amount_cents < 0 THEN -amount_cents ELSE 0 END) AS spent, sum(CASE WHEN amount_cents > 0 THEN amount_cents ELSE 0 END) AS back
+        FROM named WHERE category NOT IN {k.names(NOT_SPENDING)} GROUP BY owner_id, month, category HAVING spent > 0 OR back > 0),
+    gross AS (SELECT owner_id, category, sum(spent) AS gross_cents FROM monthly GROUP BY 1, 2),
+    paid AS (SELECT m.owner_id, found AS category, sum(refund_cents) AS refund_cents FROM matches m JOIN judged j ON j.owner_id = m.owner_id AND j.fingerprint = m.second_fp GROUP BY 1, 2)
+    SELECT g.owner_id, g.category, gross_cents, coalesce(refund_cents, 0) AS refund_cents, gross_cents - coalesce(refund_cents, 0) AS net_cents
+    FROM gross g LEFT JOIN paid p ON p.owner_id = g.owner_id AND p.category = g.category""")
 def category_net_of_refunds(x: Inputs) -> DataFrame:
     gross = pr.scan_breakdown(pr.scan_categories(x.stored)).groupBy("owner_id", "category").agg(F.sum("gross_cents").alias("gross_cents"))
     return refunds.category_net_of_refunds(gross, refunds.refund_matches(x.stored), x.stored)
