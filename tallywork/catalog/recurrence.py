@@ -366,7 +366,12 @@ def upcoming_charges(x: Inputs) -> DataFrame:
     return planner.upcoming_charges(None, subs, rec.bills(x.patterns), x.as_of)
 
 
-@query("owner_id merchant_norm:text expected_date:text amount_cents confidence:real source:text")
+@query("owner_id merchant_norm:text expected_date:text amount_cents confidence:real source:text", f"""
+    WITH plan AS ({_BOARD} SELECT * FROM board WHERE status = 'confirmed' AND direction = 'expense' AND resolved_cents IS NOT NULL), {_UPCOMING.removeprefix('WITH ')}
+    SELECT owner_id, lower(coalesce(nullif(merchant_norm, ''), name)) AS merchant_norm, next_due AS expected_date, resolved_cents AS amount_cents, 1.0 AS confidence, 'commitment' AS source
+    FROM plan WHERE next_due BETWEEN {k.AS_OF} AND {k.AS_OF} + 30
+    UNION ALL SELECT owner_id, merchant_norm, due, cents, confidence, source FROM up
+    WHERE NOT EXISTS (SELECT 1 FROM plan WHERE plan.owner_id = up.owner_id AND lower(plan.merchant_norm) = up.merchant_norm AND plan.merchant_norm <> '')""")
 def upcoming_charges_with_commitments(x: Inputs) -> DataFrame:
     subs = rec.subscriptions(x.last_400_days, x.as_of, patterns=x.patterns)
     return planner.upcoming_charges(x.board, subs, rec.bills(x.patterns), x.as_of)
