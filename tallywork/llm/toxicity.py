@@ -30,6 +30,7 @@ DECAY, STEPS = 0.6, ((1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 2))
 LETTERS = 64
 LONGEST = 40
 WORDS_AT_ONCE = 2_000
+TEXTS_AT_ONCE = 256
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.\-*_]){3,}[^\W\d_](?!\S)")
 
@@ -239,17 +240,19 @@ class Margins(dict):
         self.update(zip(fresh, self.machine.words([clean(p) for p in fresh]).tolist()))
 
 
+def _scores(texts: Iterable[str | None], machine: Machine, margins: Margins) -> np.ndarray:
+    found = [pieces(t) for t in texts]
+    margins.of(found)
+    return machine.texts(np.array([figures(np.fromiter(map(margins.__getitem__, doc), np.float64, len(doc))) for doc in found]).reshape(-1, 9))
+
+
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row; null and empty texts are scored as texts without words."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         margins = Margins(machine)
         for pdf in batches:
-            rows: list[list[float]] = []
-            for at in range(0, len(pdf), 256):
-                found = [pieces(t) for t in pdf["text"].iloc[at : at + 256]]
-                margins.of(found)
-                rows += [figures(np.fromiter(map(margins.__getitem__, doc), np.float64, len(doc))) for doc in found]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": machine.texts(np.array(rows).reshape(-1, 9))})
+            scores = [_scores(pdf["text"].iloc[at : at + TEXTS_AT_ONCE], machine, margins) for at in range(0, len(pdf), TEXTS_AT_ONCE)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.concatenate(scores) if scores else []})
 
     d = named(docs, doc_id=doc_id, text=text)
     kind = d.schema["doc_id"].dataType.simpleString()
@@ -263,9 +266,8 @@ def without_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.7, tex
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margins = Margins(machine)
         for batch in batches:
-            found = [pieces(t) for t in batch.column(text).to_pylist()]
-            margins.of(found)
-            rows = [figures(np.fromiter(map(margins.__getitem__, doc), np.float64, len(doc))) for doc in found]
-            yield batch.filter(pa.array(machine.texts(np.array(rows).reshape(-1, 9)) < threshold))
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                yield part.filter(pa.array(_scores(part.column(text).to_pylist(), machine, margins) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
