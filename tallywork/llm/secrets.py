@@ -110,7 +110,10 @@ def made_findings(docs: DataFrame, rows: int = FIT_ROWS, doc_id: str = "doc_id",
     Values and the words around them come from the documents; what kind of finding a row is follows from a hash of the
     row. Secrets are digests and mixed strings given a credential's name, or with a well-known prefix. The others are
     digests given as such, numbers, identifiers made of the text's words, addresses, and placeholders."""
-    d = named(docs, doc_id=doc_id, text=text).filter(F.length("text") > 0).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(rows)
+    d = named(docs, doc_id=doc_id, text=text).filter(F.length("text") > 0).withColumn("order", F.xxhash64("doc_id", "text"))
+    # Only hashes are sorted, never texts: documents up to the last of the `rows` least hashes are taken.
+    last = d.select("order").distinct().orderBy("order").limit(rows).agg(F.max("order")).first()[0]
+    d = d.filter(F.col("order") <= F.lit(last)).dropDuplicates(["order"])
     d = d.select(F.xxhash64("doc_id", "text", F.lit(1)).alias("key"), "text", F.sha2("text", 256).alias("hex"))
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 2)
     d = d.withColumn("ws", F.slice(words, 1, 12)).withColumn("kind", F.pmod("key", F.lit(12)))
