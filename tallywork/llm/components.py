@@ -36,8 +36,10 @@ def _tidy(edges: DataFrame) -> DataFrame:
 
 
 def _star(directed: DataFrame) -> DataFrame:
-    """u, v, m: each edge with the least of its first node and that node's neighbours."""
-    least = directed.groupBy(F.col("a").alias("k")).agg(F.least(F.first("a"), F.min("b")).alias("m"))
+    """u, v, m: each edge with the least of its first node and that node's neighbours.
+
+    The minima are stored, so that the join deals both sides out anew and a node with very many edges can be split."""
+    least = store(directed.groupBy(F.col("a").alias("k")).agg(F.least(F.first("a"), F.min("b")).alias("m")))
     return directed.join(least, directed["a"] == least["k"]).select(F.col("a").alias("u"), F.col("b").alias("v"), "m")
 
 

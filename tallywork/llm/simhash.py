@@ -205,7 +205,7 @@ def fingerprint_components(docs: DataFrame, words: int = 4, radius: int = 4, see
     rows = each.select(F.explode(bucket_keys(["f0"], covering_masks(radius, 64))).alias("bucket"), F.col("f0"))
     found = components(link_buckets(rows, ["f0"], radius, "f0"))
     member = each.join(found, each["f0"] == found["node"], "left").select("f0", "least", F.coalesce("root", "f0").alias("root"))
-    top = member.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
+    top = store(member.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id")))  # stored, so that the join can split a large group
     ids = member.join(top, member["root"] == top["of"]).select(F.col("f0").alias("k"), "component_id")
     return prints.join(ids, prints["f0"] == ids["k"]).select(
         "doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id"
@@ -234,7 +234,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, rea
     rows = store(some.distinct()).select(F.explode(bucket_keys(lanes[:2], masks)).alias("bucket"), "node", *lanes)
     found = components(link_buckets(rows, lanes, apart, "node"))
     member = each.join(found, each["node"] == found["node"], "left").select(each["node"].alias("k"), "least", F.coalesce("root", each["node"]).alias("root"))
-    top = member.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("group_id"))
+    top = store(member.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("group_id")))  # stored, so that the join can split a large group
     ids = member.join(top, member["root"] == top["of"]).select("k", "group_id")
     return prints.join(ids, prints["node"] == ids["k"]).select("doc_id", "group_id")
 
