@@ -55,7 +55,7 @@ def repeated_lines(docs: DataFrame, over_words: int = 50, doc_id: str = "doc_id"
 
     chunk = narrow.groupBy("doc_id", "th", "chunk").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("lines"))
     chunk = store(chunk.select("doc_id", "th", "chunk", F.xxhash64(F.transform("lines", lambda x: x["h"]), F.size("lines")).alias("key")))
-    anchors = chunk.groupBy(F.col("key").alias("akey")).count().filter("count > 1")
+    anchors = store(chunk.groupBy(F.col("key").alias("akey")).count().filter("count > 1"))  # stored, so that the join can split a hot chunk
     anchored = chunk.join(anchors, chunk["key"] == anchors["akey"], "left_semi").select(
         F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"), F.col("chunk").alias("a_chunk")
     )
