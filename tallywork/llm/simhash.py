@@ -23,6 +23,10 @@ from .components import components
 
 #: Rows of a bucket that one task compares; larger buckets are cut into blocks and every two blocks meet in a task.
 BUCKET_ROWS = 8192
+#: The same for shingle sets, of which exact Jaccard is taken.
+BLOCK_SETS = 1024
+#: Lanes of the fingerprints that bring near duplicates together, and the bits that one of a lane's two fields may differ in.
+LANES, FIELD_REACH = 5, 4
 MIX = (0x0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -45,10 +49,16 @@ def simhash(text: str | None, words: int, seed: int = 42, lanes: int = 1, repeat
     The first lane is set where over half of the hashes are; further lanes do the same with the hashes mixed anew.
     Without `repeats` each different shingle counts once."""
     h = shingle_hashes(text, words, seed)
+    return _majority(h if repeats else _distinct(h), lanes)
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    return np.unique(h.view(">u8")).view(np.uint8).reshape(-1, 8)
+
+
+def _majority(h: np.ndarray, lanes: int) -> bytes:
     if not len(h):
         return bytes(8 * lanes)
-    if not repeats:
-        h = np.unique(h.view(">u8")).view(np.uint8).reshape(-1, 8)
     if lanes > 1:
         base = h.view(">u8").astype(np.uint64)
         h = np.concatenate([h, *[_mixed(base, MIX[k % 4] + 2 * (k // 4)).astype(">u8").view(np.uint8) for k in range(1, lanes)]], axis=1)
@@ -212,30 +222,121 @@ def fingerprint_components(docs: DataFrame, words: int = 4, radius: int = 4, see
     )
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, reach: int = 9, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, group_id: documents joined by chains of pairs whose shingle sets are `similarity` or more alike (Jaccard).
+def sketches(docs: DataFrame, words: int, lanes: int, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, th (hash of the text), node (hash of the set of shingles), f0 .. f(lanes-1). One row per row of `docs`."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            nodes, made = [], []
+            for t in pdf["text"]:
+                h = _distinct(shingle_hashes(t, words, seed))
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
+                made.append(_majority(h, lanes))
+            cols = np.frombuffer(b"".join(made), ">i8").reshape(-1, lanes).astype(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "node": np.array(nodes, np.int64), **{f"f{k}": cols[:, k] for k in range(lanes)}})
+
+    d = named(docs, doc_id=doc_id, text=text)
+    kind = d.schema["doc_id"].dataType.simpleString()
+    d = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    out = d.mapInPandas(run, "doc_id string, th long, node long, " + ", ".join(f"f{k} long" for k in range(lanes)))
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def alike(values: np.ndarray, starts: np.ndarray, similarity: float) -> np.ndarray:
+    """Component label of each set values[starts[k] : starts[k + 1]], none empty, over all pairs with that Jaccard or more."""
+    n = len(starts) - 1
+    codes = np.unique(values, return_inverse=True)[1]
+    sizes = np.diff(starts)
+    label, waiting = np.arange(n), np.ones(n, bool)
+    mark = np.zeros(int(codes.max()) + 1 if len(codes) else 1, np.int64)
+    for root in range(n):
+        if not waiting[root]:
+            continue
+        waiting[root] = False
+        edge = [root]
+        while edge and waiting.any():
+            k = edge.pop()
+            own = codes[starts[k] : starts[k + 1]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[codes], starts[:-1])
+            mark[own] = 0
+            found = np.flatnonzero(waiting & (both >= similarity * (sizes + sizes[k] - both) - 1e-9))
+            label[found], waiting[found] = root, False
+            edge.extend(found.tolist())
+    return label
+
+
+def exact_links(docs: DataFrame, nodes: DataFrame, similarity: float, words: int, seed: int = 42, text: str = "text") -> DataFrame:
+    """nodes(node, th, root) -> edges(a, b): a spanning forest of the pairs of one root whose shingle sets are `similarity` or more alike.
+
+    Sets are read from the text of hash `th`. A root of many nodes is cut into blocks, of which every two meet in a task."""
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [_distinct(shingle_hashes(t, words, seed)).tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"bucket": pdf["root"], "node": pdf["node"], "shingles": made})
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_runs(batches, "bucket", 4 * BLOCK_SETS):
+            bucket, ids = t["bucket"].to_numpy(), t["node"].to_numpy()
+            parts = [np.frombuffer(x.as_py(), ">u8").astype(np.uint64) for x in t["shingles"]]
+            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            for first, last in zip(edges[:-1], edges[1:]):
+                rows = np.array([k for k in range(first, last) if len(parts[k])], np.int64)
+                if len(rows) < 2:
+                    continue
+                label = alike(np.concatenate([parts[k] for k in rows]), np.concatenate([[0], np.cumsum([len(parts[k]) for k in rows])]), similarity)
+                far = np.flatnonzero(label != np.arange(len(rows)))
+                if len(far):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows[label[far]]]), pa.array(ids[rows[far]])], names=["a", "b"])
+
+    texts = docs.select(F.xxhash64(docs[text]).alias("of"), docs[text].alias("text"))
+    found = texts.join(nodes, texts["of"] == nodes["th"]).dropDuplicates(["node"]).select("root", "node", "text")
+    rows = store(found.mapInPandas(sets, "bucket long, node long, shingles binary"))
+    spread = split_buckets(rows, BLOCK_SETS).repartition("bucket").sortWithinPartitions("bucket")
+    return spread.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, reach: int = 12, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, th, node of each row; found: node, root of each node alike to another).
 
-    Similarity is read off 256-bit fingerprints: sets of equal size with Jaccard J have cosine 2J/(1+J), and a bit differs
-    with probability acos(cosine)/pi. Candidates differ in at most `reach` = 9 bits of the first or of the second lane; of
-    the two 32-bit fields of such a lane one differs in at most 4, and 31 masks cover it. Nulls, empties, repeats and empty
-    tables behave as in fingerprint_components; group_id is the least id of the group."""
-    lanes = ["f0", "f1", "f2", "f3"]
+    Texts with one set of shingles are one node. Candidates come from fingerprints of five lanes: sets of equal size with
+    Jaccard J have cosine 2J/(1+J), and a bit differs with probability acos(cosine)/pi. They differ in at most `reach` bits
+    of some lane and in at most 4 of one of its two 32-bit fields, which 31 masks cover, and in all lanes by no more than
+    three deviations over the mean of a pair at the threshold: over 99 % of such pairs. What counts is the exact Jaccard
+    of every two nodes that candidates join."""
+    lanes = [f"f{k}" for k in range(LANES)]
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    apart = int(256 * share + 0.5 * np.sqrt(256 * share * (1 - share)))  # half a deviation more: a pair at the threshold is likelier linked than not
-    prints = store(fingerprints(docs, words, 42, 4, False, doc_id, text).withColumn("node", F.xxhash64(*lanes)))
-    each = store(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(x).alias(x) for x in lanes]))
-    masks = covering_masks(reach // 2, 32) + covering_masks(reach // 2, 32, 32)
+    apart = int(64 * LANES * share + 3 * np.sqrt(64 * LANES * share * (1 - share)))
+    prints = store(sketches(docs, words, LANES, 42, doc_id, text))
+    each = store(prints.groupBy("node").agg(F.min("th").alias("th"), *[F.first(x).alias(x) for x in lanes]))
+    masks = covering_masks(FIELD_REACH, 32) + covering_masks(FIELD_REACH, 32, 32)
     near = []
-    for lane in lanes[:2]:
+    for lane in lanes:
         rows = each.select(F.col(lane).alias("lane")).distinct().select(F.explode(bucket_keys(["lane"], masks)).alias("bucket"), "lane")
-        near.append(near_rows(rows, "lane", reach).select("near"))
-    near = [store(x) for x in near]
-    some = each.join(near[0], each["f0"] == near[0]["near"], "left_semi").union(each.join(near[1], each["f1"] == near[1]["near"], "left_semi"))
-    rows = store(some.distinct()).select(F.explode(bucket_keys(lanes[:2], masks)).alias("bucket"), "node", *lanes)
-    found = components(link_buckets(rows, lanes, apart, "node"))
+        near.append(store(near_rows(rows, "lane", reach)))
+    some = None
+    for lane, found in zip(lanes, near):
+        part = each.join(found, each[lane] == found["near"], "left_semi").select("node", *lanes)
+        # A lane's own keys only: a pair that this lane brings together has both rows here.
+        part = part.withColumn("lane", F.col(lane)).select(F.explode(bucket_keys(["lane"], masks)).alias("bucket"), "node", *lanes)
+        part = part.withColumn("bucket", F.xxhash64(F.lit(lane), "bucket"))
+        some = part if some is None else some.union(part)
+    alike_prints = each.select("node", F.xxhash64(*lanes).alias("print"))  # one print, different sets: no lane tells them apart
+    same = store(alike_prints.groupBy(F.col("print").alias("of")).agg(F.min("node").alias("a"), F.count("*").alias("times")).filter("times > 1"))
+    twins = alike_prints.join(same, alike_prints["print"] == same["of"]).select("a", F.col("node").alias("b"))
+    joined = components(link_buckets(store(some), lanes, apart, "node").union(twins))
+    nodes = joined.join(each.select(F.col("node").alias("of"), "th"), F.col("node") == F.col("of")).select("node", "th", "root")
+    return prints.select("doc_id", "th", "node"), components(exact_links(docs, store(nodes), similarity, words, 42, text))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, reach: int = 12, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, group_id: documents joined by chains of pairs whose shingle sets are `similarity` or more alike (exact Jaccard).
+
+    Nulls, empties, repeats and empty tables behave as in fingerprint_components; group_id is the least id of the group."""
+    prints, found = near_groups(docs, similarity, words, reach, doc_id, text)
+    each = store(prints.groupBy("node").agg(F.min("doc_id").alias("least")))
     member = each.join(found, each["node"] == found["node"], "left").select(each["node"].alias("k"), "least", F.coalesce("root", each["node"]).alias("root"))
     top = store(member.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("group_id")))  # stored, so that the join can split a large group
-    ids = member.join(top, member["root"] == top["of"]).select("k", "group_id")
+    ids = store(member.join(top, member["root"] == top["of"]).select("k", "group_id"))
     return prints.join(ids, prints["node"] == ids["k"]).select("doc_id", "group_id")
 
 
