@@ -20,3 +20,13 @@ def test_no_copy_of_short_lines_is_missed(spark):
     got = cleaned(spark, docs)
     for key, passage in passages.items():
         assert got[key] == (docs[key] if key % 10 == 0 else docs[key].replace(passage + "\n", ""))
+
+
+def test_lines_that_repeat_alone_and_first_copies_stay(spark):
+    a, b, c, x, y, z = (prose(k, 20, 20) for k in range(6))
+    own = [prose(50 + k, 9, 9) for k in range(12)]
+    docs = {1: f"{own[0]}\n{a}", 2: f"{b}\n{own[1]}", 3: f"{own[2]}\n{c}", 7: f"{own[3]}\n{a}\n{b}\n{c}"}
+    docs |= {10: f"{own[4]}\n{x}\n{own[5]}", 11: f"{x}\n{y}\n{z}", 12: f"{own[6]}\n{x}\n{y}\n{z}\n{own[7]}"}
+    docs |= {20: "\n".join([own[8]] * 30), 21: f"{a}\n\n{x}\n\n{c}", 22: f"{own[9]}\n{a}\n\n{x}\n\n{c}"}
+    got = cleaned(spark, docs)
+    assert got == docs | {12: f"{own[6]}\n{own[7]}", 20: "\n".join([own[8]] * 6), 22: own[9]}
