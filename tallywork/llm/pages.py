@@ -2,9 +2,9 @@
 
 Pages of a host are ordered by URL path, and a page is aligned, line by line, with its nearest neighbours on both sides
 by their longest common subsequence: what they share in that order is the host's template. The element that holds most
-of the text that is not shared is the main one. Where a page has an article or main element, that one is kept whole but
-for menus, forms, comments and the like within it, so that an article that quotes its neighbour loses nothing. Elsewhere
-the shared lines go, and marked-up navigation and notices with them.
+of the text that is not shared is the main one. In an article or main element the lines go that two different neighbours
+share, so that an article that quotes one of them loses nothing, and menus, forms, comments and the like. Elsewhere all
+shared lines go, and marked-up navigation and notices with them.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ..session import store
 from .common import named
 
-#: Pages that one task aligns at a time, and how far a neighbour is looked for past pages with the very same lines.
-BLOCK_PAGES, LOOK = 256, 8
+#: Pages that one task aligns at a time, and how many different pages on a side it sees.
+BLOCK_PAGES, LOOK = 256, 2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -158,29 +158,42 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def main_text(lines: list[Line], shared: frozenset[int] | set[int]) -> str:
-    """The main text of a page whose lines of numbers `shared` belong to its host's template."""
+def main_text(lines: list[Line], shared: frozenset[int] | set[int], twice: frozenset[int] | set[int] = frozenset()) -> str:
+    """The main text of a page whose lines of numbers `shared` a neighbour has too, and `twice` two different ones.
+
+    In an article or main element the latter go. Where they would be over half of its text, the pages are near copies and
+    say nothing about the template; then the element's own marks decide alone."""
     size: dict[int, int] = defaultdict(int)
     for i, line in enumerate(lines):
         if line.main and not line.never:
             size[line.main] += len(line.text) * (1000 if i not in shared else 1)
     if size:
         best = max(size, key=lambda k: (size[k], -k))
-        kept = [line.text for line in lines if line.main == best and not line.never]
+        own = [i for i, line in enumerate(lines) if line.main == best and not line.never]
+        left = [i for i in own if i not in twice]
+        if 2 * sum(len(lines[i].text) for i in left) < sum(len(lines[i].text) for i in own):
+            left = own
+        kept = [lines[i].text for i in left]
     else:
         kept = [line.text for i, line in enumerate(lines) if not line.never and i not in shared]
     return "\n".join(kept)
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
-    """pages(key, url, html) -> key, shared: numbers of the lines that a page shares with its nearest neighbours by path in its host."""
+    """pages(key, url, html) -> key, shared, twice: numbers of the lines that a page shares with its nearest neighbours by path
+    in its host, and with two of them at once (at the ends of a host the two nearest on one side).
+
+    Pages of a host with the very same lines are one page, at the least of their paths."""
     def outline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(k, *place_of(u), [xxhash.xxh64_intdigest(x.text) - (1 << 63) for x in lines_of(h)]) for k, u, h in zip(pdf["key"], pdf["url"], pdf["html"])]
             yield pd.DataFrame(rows, columns=["key", "host", "path", "lines"])
 
-    narrow = pages.mapInPandas(outline, "key long, host string, path string, lines array<long>").dropDuplicates(["key"])
-    placed = narrow.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key").withColumn("at", F.monotonically_increasing_id())
+    narrow = pages.mapInPandas(outline, "key long, host string, path string, lines array<long>")
+    narrow = store(narrow.withColumn("same", F.xxhash64("host", "lines")))
+    least = narrow.groupBy("same").agg(F.min(F.struct("host", "path", "key")).alias("at"), F.first("lines").alias("lines"))
+    single = least.select("same", "at.host", "at.path", "at.key", "lines")
+    placed = single.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key").withColumn("at", F.monotonically_increasing_id())
     placed = store(placed)
     part = F.shiftright("at", 33)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
@@ -188,42 +201,42 @@ def template_lines(pages: DataFrame) -> DataFrame:
     ranked = placed.join(F.broadcast(tasks), part == tasks["part"]).withColumn("rank", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1))
     block = F.floor(F.col("rank") / BLOCK_PAGES)
     spread = F.array_distinct(F.array(block, F.floor((F.col("rank") - LOOK) / BLOCK_PAGES), F.floor((F.col("rank") + LOOK) / BLOCK_PAGES)))
-    blocks = ranked.select("key", "host", "rank", "lines", block.alias("own"), F.explode(spread).alias("block"))
+    blocks = ranked.select("same", "host", "rank", "lines", block.alias("own"), F.explode(spread).alias("block"))
 
     def align(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
         hosts, lines, out = pdf["host"].tolist(), [list(x) for x in pdf["lines"]], []
-        for i, (key, own, number) in enumerate(zip(pdf["key"], pdf["own"], pdf["block"])):
+        for i, (same, own, number) in enumerate(zip(pdf["same"], pdf["own"], pdf["block"])):
             if own != number:
                 continue
-            shared: set[int] = set()
-            for way in (-1, 1):
-                for j in range(i + way, i + way * (LOOK + 1), way):
-                    if not 0 <= j < len(hosts) or hosts[j] != hosts[i]:
-                        break
-                    if lines[j] != lines[i]:
-                        shared.update(common_lines(lines[i], lines[j]))
-                        break
-            out.append((key, sorted(shared)))
-        return pd.DataFrame(out, columns=["key", "shared"])
+            in_host = [way for way in (-2, -1, 1, 2) if 0 <= i + way < len(hosts) and hosts[i + way] == hosts[i]]
+            common = {way: set(common_lines(lines[i], lines[i + way])) for way in in_host if abs(way) == 1}
+            shared = set().union(*common.values())
+            if len(common) == 1:
+                common |= {way: set(common_lines(lines[i], lines[i + way])) for way in in_host if abs(way) == 2}
+            twice = set.intersection(*common.values()) if len(common) == 2 else set()
+            out.append((same, sorted(shared), sorted(twice)))
+        return pd.DataFrame(out, columns=["same", "shared", "twice"])
 
-    return blocks.groupBy("block").applyInPandas(align, "key long, shared array<int>")
+    found = store(blocks.groupBy("block").applyInPandas(align, "same long, shared array<int>, twice array<int>"))  # stored, so that the join can split many copies
+    copies = narrow.select("key", F.col("same").alias("of")).distinct()
+    return copies.join(found, copies["of"] == found["same"]).select("key", "shared", "twice")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: one row per row of `pages`.
 
-    Null or empty html gives an empty text. Pages equal in id, url and html share one result; pages with the very same lines
-    say nothing about each other's template. A page without neighbours shares no line. An empty table gives no rows."""
+    Null or empty html gives an empty text. Pages equal in id, url and html share one result; pages of a host with the very same
+    lines are compared as one. A page without neighbours shares no line. An empty table gives no rows."""
     d = named(pages, page_id=page_id, url=url, html=html).withColumn("key", F.xxhash64("page_id", "url", "html"))
     shared = template_lines(d.select("key", "url", "html"))
     kind = d.schema["page_id"].dataType.simpleString()
     joined = d.join(shared.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
-    joined = joined.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"))
+    joined = joined.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", *[F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in ("shared", "twice")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [main_text(lines_of(h), set(s)) for h, s in zip(pdf["html"], pdf["shared"])]
+            texts = [main_text(lines_of(h), set(s), set(t)) for h, s, t in zip(pdf["html"], pdf["shared"], pdf["twice"])]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     out = joined.mapInPandas(run, "page_id string, url string, text string, n_chars long")
