@@ -18,3 +18,10 @@ def test_lines_of_two_neighbours_go_inside_an_article(spark):
     own = {k: [f"story {k} line {j}" for j in range(4)] + (["story 4 line 1"] if k == 5 else []) for k in range(12)}
     assert all(got[k].split("\n") == own[k] for k in own)
     assert all("story 99 line 2" in got[50 + k] for k in range(3))
+
+
+def test_many_copies_still_find_a_different_neighbour(spark):
+    flat = lambda body: f"<body><div>Our shop</div><p>{body}</p><div>All rights</div></body>"
+    rows = [(k, f"http://h/m?q={k}", flat("the same")) for k in range(40)] + [(100, "http://h/a", flat("first")), (101, "http://h/z", flat("last"))]
+    got = texts(spark, rows)
+    assert got == {**{k: "the same" for k in range(40)}, 100: "first", 101: "last"}
