@@ -6,9 +6,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import store
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,3 +58,18 @@ def whole_runs(batches: Iterable[pa.RecordBatch], key: str, rows: int) -> Iterat
             count = t.num_rows - cut
     if held:
         yield pa.Table.from_batches(held)
+
+
+def numbered(df: DataFrame, name: str, *by: Column, parts: int | None = None) -> DataFrame:
+    """The rows, stored in the order of `by` after one range exchange, with their place in that order (from 0) as `name`.
+
+    `by` should tell all rows apart: equal ones cannot be dealt to two tasks. Only a row count of each task meets in one place."""
+    dealt = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    # Within a task the id counts rows from 0; its upper bits are the task's number, which follows the order.
+    placed = store(dealt.sortWithinPartitions(*by).withColumn("at_", F.monotonically_increasing_id()))
+    task = F.shiftright("at_", 33)
+    before = Window.orderBy("task_").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = placed.groupBy(task.alias("task_")).count().select("task_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before_"))
+    return placed.join(F.broadcast(tasks), task == tasks["task_"]).select(  # one row a task
+        *df.columns, (F.col("before_") + F.col("at_").bitwiseAND((1 << 33) - 1)).alias(name)
+    )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, lines, packing, pages, quality, secrets, sharding, simhash, toxicity
+from . import ann, decontaminate, lines, packing, pages, quality, resampling, secrets, sharding, simhash, spelling, toxicity, vectorlinks
 from .common import table
 
 
@@ -61,9 +61,21 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorlinks.vector_links(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_components, op2_histogram_shards, op3_quality_boosting, op4_toxicity_kernel, op5_permutation_neighbours, op6_page_differencing,
-    op7_decontamination, op8_line_chunks, op9_packed_sequences, op10_secret_forest,
+    op7_decontamination, op8_line_chunks, op9_packed_sequences, op10_secret_forest, op11_spelling_variants, op12_importance_resampling, op13_vector_links,
 )}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')"
