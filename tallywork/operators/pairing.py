@@ -109,15 +109,15 @@ def _leg_order(side: str) -> Column:
     )
 
 
-def _pair_rows(candidates: DataFrame, score: Column, legs: DataFrame) -> DataFrame:
+def _pair_rows(candidates: DataFrame, score: Column, legs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Matched rows with the lot figures of their candidate."""
     candidates = cut_lineage(candidates)
     pairs = candidates.select(
-        F.col("out_lot").alias("proposer"), F.col("in_lot").alias("partner"),
+        *keys, F.col("out_lot").alias("proposer"), F.col("in_lot").alias("partner"),
         F.col("out_n").alias("proposer_n"), F.col("in_n").alias("partner_n"), score.alias("score"),
         _leg_order("in").alias("partner_order"), _leg_order("out").alias("proposer_order"),
     )
-    settled = assign(pairs, F.col("score"), F.col("partner_order"), F.col("proposer_order"))
+    settled = assign(pairs, F.col("score"), F.col("partner_order"), F.col("proposer_order"), keys)
     rows = legs.select("lot", F.col("fingerprint").alias("row_id"))
     matched = expand(settled, rows, rows).withColumnsRenamed({"proposer": "out_lot", "partner": "in_lot"})
     return matched.join(candidates, ["out_lot", "in_lot"])
@@ -139,7 +139,7 @@ def transfer_pairs(
     """One row per pair: both fingerprints and accounts, amounts, confidence and reason."""
     legs = cut_lineage(_legs(ledger, keys, has_transfer_words))
     found = scored(lot_candidates(legs, tolerance_days, tolerance_cents, keys), tolerance_days, tolerance_cents)
-    rows = _pair_rows(found, F.col("score"), legs)
+    rows = _pair_rows(found, F.col("score"), legs, keys)
     return rows.select(
         *keys,
         F.substring(F.sha2(F.concat_ws("|", *keys, "proposer_row", "partner_row"), 256), 1, 16).alias("pair_id"),
@@ -159,7 +159,7 @@ def first_fit_pairs(
     """Fingerprints of pairs by the simple rule: the first free inflow in date order, one side worded like a transfer."""
     legs = cut_lineage(_legs(ledger, keys, transfer_like))
     found = lot_candidates(legs, tolerance_days, tolerance_cents, keys).filter(F.col("out_worded") | F.col("in_worded"))
-    rows = _pair_rows(found, F.lit(0.0), legs)
+    rows = _pair_rows(found, F.lit(0.0), legs, keys)
     return rows.select(*keys, F.col("proposer_row").alias("out_fingerprint"), F.col("partner_row").alias("in_fingerprint"))
 
 

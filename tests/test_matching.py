@@ -7,8 +7,10 @@ import random
 import pytest
 
 from tallywork.lexicon import keywords as kw
-from tallywork.operators import pairing, refunds
+from tallywork.operators import matching, pairing, refunds
+from tallywork.operators.components import components
 from tallywork.operators.pairing import transfer_pairs
+from tallywork.session import cut_lineage
 
 
 def md5(value):
@@ -119,3 +121,47 @@ def test_result_does_not_depend_on_partitions(spark, make_ledger):
     ledger = make_ledger(random_rows(5))
     first = sorted(r.pair_id for r in transfer_pairs(ledger).collect())
     assert first == sorted(r.pair_id for r in transfer_pairs(ledger.repartition(7)).collect())
+
+
+@pytest.mark.parametrize("most", [0, 6])
+def test_large_ledgers_match_alike(make_ledger, monkeypatch, most):
+    """Ledgers over the limit go by components, components over it in rounds; the pairs stay those of the serial search."""
+    monkeypatch.setattr(matching, "SERIAL_MOST", most)
+    rows = random_rows(6, 40)
+    pairs = {(r.out_fingerprint, r.in_fingerprint) for r in transfer_pairs(make_ledger(rows)).collect()}
+    assert pairs == serial_pairs(rows)
+    got = {(r.refund_fingerprint, r.expense_fingerprint) for r in refunds.refund_matches(make_ledger(rows)).collect()}
+    assert got == serial_refunds(rows)
+
+
+def test_a_long_chain_takes_few_jobs(spark, make_ledger):
+    """2,000 lots of which each is second choice of the next: once 1,000 rounds."""
+    rows = []
+    for k in range(1000):
+        rows += [("chk", "2024-01-01", -(100_000 + 200 * k), "transfer"), ("sav", "2024-01-01", 100_000 + 200 * k + 90, "transfer")]
+    ledger = cut_lineage(make_ledger(rows))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    pairs = transfer_pairs(ledger)
+    assert len(tracker.getJobIdsForGroup("chain")) < 10
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert pairs.count() == 1000
+
+
+def test_components(spark):
+    rng = random.Random(7)
+    edges = [(k, k + 1) for k in range(300)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(5, 5), (2000, 2001), (2001, 2000)]
+    root = {n: n for e in edges if e[0] != e[1] for n in e}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in root}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
