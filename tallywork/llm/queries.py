@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontaminate, lines, packing, pages, quality, resampling, secrets, sharding, simhash, spelling, toxicity, vectorlinks
+from .check_sql import LINKS, RESAMPLING, SPELLING
 from .common import table
 
 
@@ -101,4 +102,7 @@ found AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op11_spelling_variants": SPELLING,
+    "op12_importance_resampling": RESAMPLING,
+    "op13_vector_links": LINKS,
 }
