@@ -102,10 +102,14 @@ _LATE = """SELECT owner_id, CAST(date_trunc('month', posted_at) AS DATE) AS peri
     WHERE posted_at >= DATE '2001-07-01' AND posted_at < DATE '2001-10-01' AND fingerprint LIKE 'e%'"""
 
 
-def _late(x: Inputs) -> tuple[DataFrame, DataFrame]:
-    """Rows whose fingerprint starts with e arrive after the close."""
+def closed_and_held(x: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Closed periods and the fingerprints in them at the close; rows whose fingerprint starts with e arrive later."""
     closed = closing.current_closes(_closed(x)).filter("status = 'closed'")
-    held = closing.close_fingerprints(closed, x.ledger.filter("fingerprint not like 'e%'"))
+    return closed, closing.close_fingerprints(closed, x.ledger.filter("fingerprint not like 'e%'"))
+
+
+def _late(x: Inputs) -> tuple[DataFrame, DataFrame]:
+    closed, held = closed_and_held(x)
     return closed, closing.late_rows(closed, held, x.ledger)
 
 
@@ -214,7 +218,7 @@ def entity_history(x: Inputs) -> DataFrame:
 
 # --- ingest: texts as a bank would send them, made from the ledger ------------------------
 
-def _usd_text(cents: Column) -> Column:
+def usd_text(cents: Column) -> Column:
     """Amount as bank text in one of four styles."""
     plain = F.format_string("%.2f", F.abs(cents) / 100)
     style = F.abs(cents) % 4
@@ -235,7 +239,7 @@ def _bank_rows(x: Inputs) -> DataFrame:
     return store(x.ledger.select(
         "owner_id", "account_id", F.col("fingerprint").alias("row_id"),
         F.when(F.startswith("fingerprint", F.lit("f")), F.lit("soon")).otherwise(day_text).alias("date_text"),
-        F.when(F.startswith("fingerprint", F.lit("e5")), F.lit("n/a")).otherwise(_usd_text(F.col("amount_cents"))).alias("amount_text"),
+        F.when(F.startswith("fingerprint", F.lit("e5")), F.lit("n/a")).otherwise(usd_text(F.col("amount_cents"))).alias("amount_text"),
         "description", "merchant"))
 
 
@@ -320,7 +324,7 @@ def feed_errors(x: Inputs) -> DataFrame:
     return bf.feed_errors(_feed_pages(x), ["owner_id"])
 
 
-def _batch(x: Inputs) -> DataFrame:
+def resent_batch(x: Inputs) -> DataFrame:
     """Rows that come again: some with a new amount, some new to the ledger, some without a source id."""
     amount = F.when(F.startswith("fingerprint", F.lit("1")), F.col("amount_cents") - 1).otherwise(F.col("amount_cents"))
     return x.ledger.filter("left(fingerprint, 1) in ('1', '2', '3', '4')").withColumn("amount_cents", amount).withColumn("page_no", F.lit(1)).withColumn(
@@ -338,14 +342,14 @@ _MERGE_CHANGE = "CASE WHEN left(fingerprint, 1) = '1' THEN 'updated' WHEN left(f
     FROM (SELECT *, {_MERGE_CHANGE} AS change FROM ledger)""")
 def ledger_merge(x: Inputs) -> DataFrame:
     """Every row of the ledger after it, without its 3s and 4s, took the batch."""
-    return merge.merge_ledger(x.ledger.filter("left(fingerprint, 1) not in ('3', '4')"), _batch(x), NOW, keys=["owner_id"])
+    return merge.merge_ledger(x.ledger.filter("left(fingerprint, 1) not in ('3', '4')"), resent_batch(x), NOW, keys=["owner_id"])
 
 
 @query("owner_id inserted updated", """
     SELECT owner_id, count(CASE WHEN left(fingerprint, 1) IN ('3', '4') THEN 1 END) AS inserted, count(CASE WHEN left(fingerprint, 1) = '1' THEN 1 END) AS updated FROM ledger GROUP BY 1""")
 def merge_counts(x: Inputs) -> DataFrame:
     return merge.merge_counts(merge.merge_ledger(
-        x.ledger.filter("left(fingerprint, 1) not in ('3', '4')"), _batch(x), NOW, keys=["owner_id"]), ["owner_id"])
+        x.ledger.filter("left(fingerprint, 1) not in ('3', '4')"), resent_batch(x), NOW, keys=["owner_id"]), ["owner_id"])
 
 
 @query("owner_id account_id:text name:text last_seen_at:text", """

@@ -149,10 +149,10 @@ def five_labels(x: Inputs) -> DataFrame:
     FROM norm""")
 def vendor_labels(x: Inputs) -> DataFrame:
     family = c.vendor_family(F.col("merchant_norm"))
-    return scan.with_merchant_norm(x.ledger).select("owner_id", "merchant_norm").distinct().select(
+    return c.with_service(scan.with_merchant_norm(x.ledger).select("owner_id", "merchant_norm").distinct()).select(
         "owner_id", "merchant_norm", family["family"].alias("family"), family["subtype"].alias("subtype"),
         c.is_noise(F.col("merchant_norm")).alias("noise"),
-        c.known_service(F.col("merchant_norm"))["display_name"].alias("display_name"))
+        F.col("service.display_name").alias("display_name"))
 
 
 @query("owner_id account_id:text by_type:flag by_name:flag", f"""

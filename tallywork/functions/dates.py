@@ -63,7 +63,8 @@ def days_in_range(start: Column, end: Column) -> Column:
 
 
 def days_left_in_month(day: Column) -> Column:
-    return F.datediff(F.last_day(day), day)
+    """Days of the month from this one on, itself included."""
+    return F.datediff(F.last_day(day), day) + 1
 
 
 def in_range(day: Column, start: Column | str | dt.date, end: Column | str | dt.date) -> Column:

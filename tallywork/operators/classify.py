@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..lexicon import categories, keywords as kw
 from ..lexicon.services import known_services
+from .containment import containing
 from .scan import KEYS
 
 INCOME, EXPENSE, TRANSFER, REFUND, CREDIT_OTHER = "INCOME", "EXPENSE", "TRANSFER", "REFUND", "CREDIT_OTHER"
@@ -50,8 +50,9 @@ def expense_only_view(accounts_dim: DataFrame, keys: Sequence[str] = KEYS) -> Da
 
 def _pattern_hits(rows: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, merchant_norm) with every rule of the same ledger it contains."""
-    merchants = rows.select(*keys, "merchant_norm").distinct()
-    return merchants.join(rules, list(keys)).filter(F.contains("merchant_norm", F.lower("merchant_pattern")))
+    rules = rules.withColumn("lower_pattern", F.lower("merchant_pattern"))
+    hits = containing(rows.select(*keys, "merchant_norm"), rules, "merchant_norm", "lower_pattern", keys)
+    return hits.join(rules, [*keys, "lower_pattern"])
 
 
 def with_overrides(
@@ -290,16 +291,26 @@ def signed_category(amount: Column, found: Column, override: Column | None = Non
 
 # --- services, families, noise ----------------------------------------------
 
-def known_service(m: Column) -> Column:
-    """Struct (display_name, service_cadence) of the longest known pattern inside the merchant, or null.
+def service_registry(spark: SparkSession) -> DataFrame:
+    """pattern, display_name, service_cadence and place (longest pattern first) of the known services."""
+    rows = [(p, n, c, k) for k, (p, n, c) in enumerate(known_services())]
+    return spark.createDataFrame(rows, "pattern string, display_name string, service_cadence string, place int")
 
-    The registry is one constant array; meant for distinct merchants or groups.
-    """
-    rows = [{"pattern": p, "display_name": n, "service_cadence": c} for p, n, c in known_services()]
-    registry = F.from_json(F.lit(json.dumps(rows)), "array<struct<pattern: string, display_name: string, service_cadence: string>>")
-    best = F.get(F.filter(registry, lambda s: F.contains(m, s["pattern"])), F.lit(0))
-    return F.when(best.isNotNull(), F.struct(best["display_name"].alias("display_name"),
-                                             best["service_cadence"].alias("service_cadence")))
+
+def with_service(rows: DataFrame, merchant: str = "merchant_norm", registry: DataFrame | None = None) -> DataFrame:
+    """Adds service: struct (display_name, service_cadence) of the first pattern in `place` order that the merchant contains, or null.
+
+    Patterns are looked up once for each different merchant."""
+    registry = service_registry(rows.sparkSession) if registry is None else registry
+    hits = containing(rows.select(F.col(merchant).alias("text_of")), registry, "text_of", "pattern").join(registry, "pattern")
+    best = hits.groupBy("text_of").agg(F.min_by(F.struct("display_name", "service_cadence"), "place").alias("service"))
+    return rows.join(best, rows[merchant] == best["text_of"], "left").drop("text_of")
+
+
+def known_service(m: Column) -> Column:
+    """The same as an expression over the built-in registry, for a column of few texts; tables go through with_service."""
+    return F.coalesce(*[F.when(F.contains(m, F.lit(p)), F.struct(F.lit(n).alias("display_name"), F.lit(c).alias("service_cadence")))
+                        for p, n, c in known_services()])
 
 
 def is_noise(m: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text
 from ..lexicon import keywords as kw
-from .classify import is_noise, is_pattern_transfer, known_service, vendor_family
+from .classify import is_noise, is_pattern_transfer, vendor_family, with_service
 from .scan import KEYS, for_accounts_or_all, look_back, posted_only, with_merchant_norm
 from .stats import day_gaps, exact_mad, exact_median
 
@@ -181,9 +181,9 @@ def subscriptions(
     """Recurring subscriptions, then known services seen too rarely for a pattern."""
     group = [*keys, "merchant_norm"]
     patterns = merchant_patterns(ledger, as_of, days, accounts, keys) if patterns is None else patterns
-    recurring = _with_type_override(
+    recurring = with_service(_with_type_override(
         with_pattern_class(patterns.filter(F.col("is_recurring") & ~F.col("is_transfer"))), type_overrides, keys
-    ).withColumn("service", known_service(F.col("merchant_norm")))
+    ))
     override = F.coalesce("override_type", F.lit(""))
     listed = recurring.filter(~override.isin("bill", "ignore")).filter(
         (override == "subscription") | F.col("service").isNotNull() | (F.col("pattern_class") == "subscription")
@@ -200,11 +200,9 @@ def subscriptions(
     outflows = with_merchant_norm(
         for_accounts_or_all(look_back(ledger, as_of, days), accounts).filter("amount_cents < 0")
     ).select(*group, "posted_at", F.abs("amount_cents").alias("cents"))
-    seen = outflows.groupBy(*group, "cents").agg(
+    seen = with_service(outflows.groupBy(*group, "cents").agg(
         F.count("*").alias("n"), F.min("posted_at").alias("first_seen"), F.max("posted_at").alias("last_seen")
-    ).withColumn("service", known_service(F.col("merchant_norm"))).filter(
-        F.col("service").isNotNull() & ~is_pattern_transfer(F.col("merchant_norm"))
-    )
+    )).filter(F.col("service").isNotNull() & ~is_pattern_transfer(F.col("merchant_norm")))
     rest = seen.join(first.select(*group), group, "left_anti")
     history = rest.groupBy(*group, "service").agg(
         F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
@@ -299,7 +297,7 @@ def price_changes(
                 & (F.col("previous_cents").isNull() | (F.col("previous_cents") == F.col("old_cents"))))
         .groupBy(*group).agg(F.min("posted_at").alias("change_date"))
     )
-    return found.join(moved, group, "left").withColumn("display_name", known_service(F.col("merchant_norm"))["display_name"])
+    return with_service(found.join(moved, group, "left")).withColumn("display_name", F.col("service.display_name")).drop("service")
 
 
 def strict_candidates(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, money
-from ..operators.classify import known_service
+from ..operators.classify import with_service
 from ..operators.detectors import with_alert_key
 from ..operators.scan import KEYS, look_back, with_merchant_norm
 
@@ -192,11 +192,11 @@ def payee_history(ledger: DataFrame, accounts_dim: DataFrame, payee: str, as_of:
 
 
 def payee_totals(history: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    service = known_service(F.col("merchant_norm"))
-    return history.groupBy(*keys, "merchant_norm").agg(
+    totals = history.groupBy(*keys, "merchant_norm").agg(
         F.count("*").alias("row_count"),
-        F.sum(F.when(F.col("amount_cents") < 0, -F.col("amount_cents")).otherwise(F.lit(0))).alias("total_cents"),
-    ).withColumn("is_known_service", service.isNotNull()).withColumn("display_name", service["display_name"])
+        F.sum(F.when(F.col("amount_cents") < 0, -F.col("amount_cents")).otherwise(F.lit(0))).alias("total_cents"))
+    return with_service(totals).withColumns(
+        {"is_known_service": F.col("service").isNotNull(), "display_name": F.col("service.display_name")}).drop("service")
 
 
 def payee_pick(ledger: DataFrame, needle: str, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from ..operators.containment import containing
 from ..operators.scan import KEYS
 
 # Least monthly saving worth a cut, and the watch marks that protect an item.
@@ -28,9 +29,9 @@ def rollup(ledger: DataFrame, by: str = "day", keys: Sequence[str] = KEYS) -> Da
 
 def income_source(rows: DataFrame, income_rules: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Adds source_name: the first income rule of the ledger the merchant contains."""
-    merchants = rows.select(*keys, "merchant_norm").distinct()
-    best = merchants.join(income_rules, list(keys)).filter(F.contains("merchant_norm", F.lower("pattern"))).groupBy(
-        *keys, "merchant_norm").agg(F.min_by("name", "rule_order").alias("source_name"))
+    rules = income_rules.withColumn("lower_pattern", F.lower("pattern"))
+    hits = containing(rows.select(*keys, "merchant_norm"), rules, "merchant_norm", "lower_pattern", keys)
+    best = hits.join(rules, [*keys, "lower_pattern"]).groupBy(*keys, "merchant_norm").agg(F.min_by("name", "rule_order").alias("source_name"))
     return rows.join(best, [*keys, "merchant_norm"], "left")
 
 

@@ -11,7 +11,9 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = ["customer", "orders", "lineitem", "events"]
 SAMPLE = ["period_totals", "monthly_reports", "classified_rows", "merchant_patterns", "transfer_candidates", "alert_feed",
           "statement_reconciliation", "month_close", "ledger_merge", "parsed_bank_rows", "commitment_board", "spending_plan",
-          "transfer_pairs", "refund_matches", "full_period_report", "account_filtered_report", "empty_account_choice", "transaction_search", "audit_log"]
+          "transfer_pairs", "refund_matches", "full_period_report", "account_filtered_report", "empty_account_choice", "transaction_search", "audit_log",
+          "bank_files_read_back", "bank_file_preview", "bank_file_counts", "income_by_rule_file", "user_range_totals", "last_day_included",
+          "streamed_ledger", "streamed_late_rows"]
 
 pytestmark = pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="driver tables are absent")
 

@@ -4,7 +4,9 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from tallywork.functions import dates
 from tallywork.operators import classify, detectors, duplicates, merge, recurring, scan, stats
+from tallywork.operators.containment import containing
 from tallywork.plans import closing
 from tallywork.plans import period_report as pr
 from tallywork.sinks import exports
@@ -222,3 +224,61 @@ def test_audit_log_limits_each_ledger(spark):
     assert closing.audit_log(log).count() == 60
     assert closing.audit_log(log, limit=7).groupBy("owner_id").count().filter("count = 7").count() == 2
     assert closing.entity_history(log, "transaction", "x3").count() == 2
+
+
+def test_containing_equals_a_plain_search(spark):
+    import random
+
+    r = random.Random(3)
+    word = lambda low, high: "".join(r.choice("abc ") for _ in range(r.randint(low, high)))
+    texts = [(r.choice([1, 2]), word(0, 14)) for _ in range(150)] + [(1, None), (2, "")]
+    patterns = [(r.choice([1, 2]), word(0, 7)) for _ in range(120)] + [(1, None), (1, ""), (2, "zzzzz")]
+    got = containing(spark.createDataFrame(texts, "o long, t string"), spark.createDataFrame(patterns, "o long, p string"), "t", "p", ["o"]).collect()
+    want = {(o, t, p) for o, t in texts for q, p in patterns if o == q and t and p and p in t}
+    assert len(got) == len(want) and {tuple(g) for g in got} == want
+
+
+def test_a_registry_of_many_patterns(spark):
+    """The longest of 20,000 patterns wins."""
+    registry = spark.range(20_000).select(
+        F.concat(F.lit("shop "), F.col("id").cast("string")).alias("pattern"), F.concat(F.lit("Shop "), F.col("id").cast("string")).alias("display_name"),
+        F.lit("monthly").alias("service_cadence"), (-F.length(F.col("id").cast("string"))).alias("place"))
+    rows = spark.createDataFrame([("the shop 12345 north",), ("shop",), ("shop 7",), (None,)], "merchant_norm string")
+    got = {r.merchant_norm: r.service and r.service.display_name for r in classify.with_service(rows, registry=registry).collect()}
+    assert got == {"the shop 12345 north": "Shop 12345", "shop": None, "shop 7": "Shop 7", None: None}
+
+
+@pytest.mark.parametrize("sample, dialect", [
+    ("Date,Amount,Description\n2024-01-01,-1.50,\"a; b; c; d\"\n2024-01-02,\"1,000.00\",x\n", (",", '"')),
+    ("date;amount;description\n2024-01-01;1,50;a, b\n2024-01-02;2,50;c, d, e\n", (";", '"')),
+    ("a|b\n1|2\n3|", ("|", '"')), ("a\tb\n'x\ty'\t2\n", ("\t", "'")), ("one column\nonly\n", (",", '"')), ("", (",", '"')),
+])
+def test_dialects(sample, dialect):
+    assert bank_files.infer_dialect(sample) == dialect
+
+
+def test_bank_file_with_line_ends_and_quotes(spark, tmp_path):
+    path = tmp_path / "export.csv"
+    path.write_text('transaction date;AMOUNT;Description\n1/2/2024;"($1,234.50)";"two\nlines; and ""quotes"""\n\n2024/01/03;;plain\n')
+    parsed = bank_files.parse_bank_rows(bank_files.read_bank_csv(spark, str(path), "chk"))
+    got = [(str(r.posted_at), r.amount_cents, r.description, r.place) for r in sorted(bank_files.preview(parsed).collect(), key=lambda r: r.place)]
+    assert got == [("2024-01-02", -123450, 'two\nlines; and "quotes"', 1), ("2024-01-03", 0, "plain", 2)]
+    assert bank_files.preview(parsed, rows=1).count() == 1
+
+
+def test_ingest_reads_only_folders_of_its_accounts(spark, make_ledger, tmp_path):
+    target = str(tmp_path / "ledger")
+    rows = make_ledger([("chk", "2024-01-05", -100, "a", owner) for owner in range(40)])
+    rows.write.parquet(str(tmp_path / "in"))
+    jobs.ingest(jobs.read_rows(spark, str(tmp_path / "in"), rows.schema), target, str(tmp_path / "c")).awaitTermination()
+    near = jobs.versions_near(rows.filter("owner_id = 7"), target, 99)
+    filters = near._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket" in filters and "batch_id" in filters
+    assert near.count() == 1
+
+
+def test_days_of_months_and_ranges(spark):
+    row = spark.sql("SELECT DATE '2024-02-10' AS d, DATE '2024-02-29' AS last").select(
+        dates.days_left_in_month(F.col("d")), dates.days_left_in_month(F.col("last")), dates.days_in_range(F.col("d"), dates.exclusive_end(F.col("last"))),
+        dates.previous_period_start(F.col("d"), "quarter")).first()
+    assert tuple(row) == (20, 1, 20, dt.date(2023, 10, 1))
