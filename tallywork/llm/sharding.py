@@ -1,7 +1,7 @@
 """Shards of near-equal bytes by histogram sort, with DataFrame functions alone.
 
-Rows are ordered by one long key: 38 bits of a hash of the text, then 25 bits of a hash of the id. Equal texts are
-neighbours, and yet a text that a third of all rows share can be cut. The boundaries between shards are found by exact
+Rows are ordered by one long key: 38 bits of a hash of the text, then 25 bits of a hash of the id and the row's number.
+Equal texts are neighbours, and yet a text that a third of all rows share can be cut, also where the ids are equal or null. The boundaries between shards are found by exact
 counts: each round counts the bytes below some probes around every boundary in all partitions at once and narrows the
 interval, until each boundary is within the tolerance. Then the rows are exchanged once.
 """
@@ -20,10 +20,10 @@ PROBES = 12
 
 
 def sort_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size (UTF-8 bytes + 1; null: 1), text_crc32 (null as empty), key."""
+    """doc_id, size (UTF-8 bytes + 1; null: 1), text_crc32 (null as empty), key. The key holds a row number, so it is to be stored before use."""
     d = named(docs, doc_id=doc_id, text=text).withColumn("text", F.coalesce("text", F.lit("")))
     group = F.shiftrightunsigned(F.xxhash64("text"), 64 - (ALL_BITS - GROUP_BITS))
-    row = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - GROUP_BITS)
+    row = F.shiftrightunsigned(F.xxhash64("doc_id", F.monotonically_increasing_id()), 64 - GROUP_BITS)
     return d.select(
         "doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32("text").alias("text_crc32"),
         F.shiftleft(group, GROUP_BITS).bitwiseOR(row).alias("key"),

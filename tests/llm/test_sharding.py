@@ -48,6 +48,15 @@ def test_few_rows_repeated_rows_and_none(spark, no_docs):
     assert sharding.shard_by_bytes(no_docs).count() == 0
 
 
+def test_repeated_rows_are_cut(spark):
+    """A third of the rows have one text and no id, or one text and one id."""
+    for copied in (None, 7):
+        rows = [(copied, "one text, many times " * 3)] * 3000 + [(100 + k, f"text number {k} " * (k % 5)) for k in range(6000)]
+        placed = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        sizes = checked(placed, 8)
+        assert len(placed) == 9000 and max(sizes) <= 1.03 * min(sizes)
+
+
 def test_no_python_in_the_plan(hard_docs):
     plan = sharding.shard_by_bytes(hard_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
