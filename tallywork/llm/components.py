@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import store
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges(a, b), both long -> (node, root): the smallest node of each node's component. Only nodes with an edge to another appear.
 
     Large star: every neighbour above u moves to the least neighbour of u. Small star: every neighbour below u, and u, move
@@ -17,7 +17,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = store(_tidy(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))))
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _star(both).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = store(_tidy(large))
@@ -27,7 +27,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         last, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == (None if last is None else tuple(last)):
             return _labels(now)
-    raise RuntimeError("components did not settle")
 
 
 def _tidy(edges: DataFrame) -> DataFrame:

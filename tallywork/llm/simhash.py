@@ -7,6 +7,7 @@ within the radius therefore always meets in the bucket of that mask: nothing is
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
@@ -341,9 +342,15 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, rea
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """The row with the least doc_id of each group of near duplicates, whole. Of repeated rows with that id one stays;
-    rows without an id cannot be told from each other and stay."""
-    group = similar_groups(docs, similarity, words).filter("doc_id = group_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named_rows = docs.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    kept = named_rows.join(group, named_rows["doc_id"] == group["kept_id"], "left_semi")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of each group of near duplicates, whole: the one of least doc_id, then of least hash of the text.
+
+    Rows of one doc_id are told apart by their texts, so one without an alike row always stays; of rows equal in both one
+    stays. Rows without an id stay."""
+    prints, found = near_groups(docs, similarity, words)
+    group = prints.filter("doc_id IS NOT NULL").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    first = group.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    mark = f"text_hash_{uuid.uuid4().hex}"  # no caller's column
+    chosen = store(first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias(mark)))
+    named_rows = docs.filter(F.col("doc_id").isNotNull()).withColumn(mark, F.xxhash64("text"))
+    kept = named_rows.join(chosen, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from texts import edited, prose
 
 from tallywork.llm import simhash
 from tallywork.llm.components import components
@@ -115,3 +116,11 @@ def test_near_copies_leave_one(hard_docs, hard_rows):
     assert kept == sorted({i for i, _ in hard_rows if i is not None} - gone - {10})
     assert simhash.keep_one(hard_docs).columns == hard_docs.columns
     assert simhash.keep_one(hard_docs).filter("doc_id is null").count() == 2
+
+
+def test_rows_of_one_id_with_other_texts_stay(spark, clashing):
+    """One id, two texts: both stay unless each is like another row."""
+    a, b = prose(50, 200), prose(51, 200)
+    rows = [(1, a), (1, b), (2, edited(b, 120)), (3, prose(52, 200)), (3, prose(52, 200)), (3, edited(a, 150)), (None, a)]
+    got = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(clashing(spark.createDataFrame(rows, "doc_id long, text string"))).collect())
+    assert got == sorted([(0, a), (1, a), (1, b), (3, prose(52, 200))])
