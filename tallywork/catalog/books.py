@@ -78,7 +78,7 @@ def month_checksums(x: Inputs) -> DataFrame:
 # --- closing -------------------------------------------------------------------------
 
 def _reports(x: Inputs) -> DataFrame:
-    return pr.period_reports(pr.period_totals(x.typed), x.accounts, "2001-09-30", 3)
+    return pr.period_reports(pr.period_totals(x.typed_months(3, "2001-09-30")), x.accounts, "2001-09-30", 3)
 
 
 def _closed(x: Inputs) -> DataFrame:
@@ -147,7 +147,7 @@ def account_balances(x: Inputs) -> DataFrame:
     return closing.account_balances(x.ledger, "2001-06-30")
 
 
-_RECONCILED = """SELECT s.owner_id, s.account_id, s.statement_date, s.statement_balance_cents, b.cents AS calculated_balance_cents, s.statement_balance_cents - b.cents AS delta_cents,
+RECONCILED = """SELECT s.owner_id, s.account_id, s.statement_date, s.statement_balance_cents, b.cents AS calculated_balance_cents, s.statement_balance_cents - b.cents AS delta_cents,
     CASE WHEN abs(s.statement_balance_cents - b.cents) <= 100 THEN 'matched' ELSE 'discrepancy' END AS status
     FROM statements s JOIN (SELECT t.owner_id, t.account_id, t.statement_date, coalesce(sum(p.amount_cents), 0) AS cents FROM statements t
         LEFT JOIN posted p ON p.owner_id = t.owner_id AND p.account_id = t.account_id AND p.posted_at <= t.statement_date GROUP BY 1, 2, 3) b
@@ -159,25 +159,25 @@ def _events(x: Inputs) -> DataFrame:
 
 
 @query("owner_id account_id:text statement_date:text calculated_balance_cents delta_cents status:text direction:text", f"""
-    SELECT *, CASE WHEN delta_cents > 0 THEN 'missing_income' WHEN delta_cents < 0 THEN 'missing_expense' ELSE 'balanced' END AS direction FROM ({_RECONCILED}) AS e""")
+    SELECT *, CASE WHEN delta_cents > 0 THEN 'missing_income' WHEN delta_cents < 0 THEN 'missing_expense' ELSE 'balanced' END AS direction FROM ({RECONCILED}) AS e""")
 def statement_reconciliation(x: Inputs) -> DataFrame:
     return _events(x)
 
 
 @query("owner_id place account_id:text statement_date:text delta_cents", f"""
-    SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY abs(delta_cents) DESC, account_id, statement_date) AS place FROM ({_RECONCILED}) AS e WHERE status = 'discrepancy'""")
+    SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY abs(delta_cents) DESC, account_id, statement_date) AS place FROM ({RECONCILED}) AS e WHERE status = 'discrepancy'""")
 def open_discrepancies(x: Inputs) -> DataFrame:
     return closing.open_discrepancies(_events(x))
 
 
 @query("owner_id place account_id:text statement_date:text", f"""
-    SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY statement_date DESC, account_id) AS place FROM ({_RECONCILED}) AS e QUALIFY place <= 4""")
+    SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY statement_date DESC, account_id) AS place FROM ({RECONCILED}) AS e QUALIFY place <= 4""")
 def reconciliation_history(x: Inputs) -> DataFrame:
     return closing.reconciliation_history(_events(x), 4)
 
 
 @query("owner_id account_id:text delta_count unresolved_count unresolved_cents pattern_type:text avg_delta_cents confidence:real", f"""
-    WITH e AS (SELECT *, row_number() OVER (PARTITION BY owner_id, account_id ORDER BY statement_date DESC) AS age, count(*) OVER (PARTITION BY owner_id, account_id) AS n FROM ({_RECONCILED})),
+    WITH e AS (SELECT *, row_number() OVER (PARTITION BY owner_id, account_id ORDER BY statement_date DESC) AS age, count(*) OVER (PARTITION BY owner_id, account_id) AS n FROM ({RECONCILED})),
     m AS (SELECT owner_id, account_id, CAST(floor(sum(delta_cents) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS mean FROM e GROUP BY 1, 2),
     s AS (SELECT e.owner_id, e.account_id, count(*) AS delta_count, any_value(mean) AS mean, min(delta_cents) > 0 OR max(delta_cents) < 0 AS one_way,
         sqrt(avg(power(abs(delta_cents) - abs(mean), 2))) / nullif(abs(any_value(mean)), 0) AS cv, avg(abs(delta_cents)) FILTER (WHERE age <= 3) AS recent,
@@ -193,7 +193,7 @@ def reconciliation_patterns(x: Inputs) -> DataFrame:
 @query("owner_id account_id:text statement_date:text place fingerprint:text match_quality:real", f"""
     SELECT e.owner_id, e.account_id, statement_date, fingerprint, 1 - abs(abs(amount_cents) - abs(delta_cents)) / CAST(abs(delta_cents) AS DOUBLE) AS match_quality,
         row_number() OVER (PARTITION BY e.owner_id, e.account_id, statement_date ORDER BY abs(abs(amount_cents) - abs(delta_cents)), posted_at, fingerprint) AS place
-    FROM ({_RECONCILED}) AS e JOIN ledger l ON l.owner_id = e.owner_id AND l.account_id = e.account_id AND l.posted_at BETWEEN e.statement_date - 30 AND e.statement_date
+    FROM ({RECONCILED}) AS e JOIN ledger l ON l.owner_id = e.owner_id AND l.account_id = e.account_id AND l.posted_at BETWEEN e.statement_date - 30 AND e.statement_date
         AND (CASE WHEN delta_cents > 0 THEN amount_cents > 0 ELSE amount_cents < 0 END)
         AND abs(amount_cents) BETWEEN abs(delta_cents) - floor(abs(delta_cents) * 20.0 / 100) AND abs(delta_cents) + floor(abs(delta_cents) * 20.0 / 100)
     WHERE delta_cents <> 0 QUALIFY place <= 10""")

@@ -171,7 +171,7 @@ def largest_rows(x: Inputs) -> DataFrame:
 def attention_feed(x: Inputs) -> DataFrame:
     rows = x.charges
     alerts = cut_lineage(det.alert_feed(rows, x.patterns, x.rules("merchant_rules")))
-    typed = x.classified
+    typed = cut_lineage(x.classified_months(4))
     rising = dashboard.rising_categories(dashboard.category_history(pr.category_breakdown(typed), x.as_of))
     off = dashboard.bill_deviations(typed, bills(x.patterns), x.as_of)
     return dashboard.attention_feed(alerts, rising, off, duplicate_groups(x.patterns))

@@ -18,7 +18,7 @@ from ..operators.classify import category_texts
 from ..operators.commitments import commitment_board
 from ..operators.detectors import detector_rows
 from ..operators.recurring import merchant_patterns
-from ..operators.scan import look_back, posted_only
+from ..operators.scan import last_periods, look_back, posted_only
 from ..plans import period_report as pr
 from ..session import cut_lineage, store
 from ..sources import driver_ledger, driver_rules
@@ -85,10 +85,18 @@ class Inputs:
     def typed(self) -> DataFrame:
         return pr.classified_ledger(self.ledger, self.accounts, with_categories=False)
 
+    def typed_months(self, months: int, as_of: str | None = None) -> DataFrame:
+        """Typed rows of the last months only; the rest of the ledger is cut off before any rule runs."""
+        return pr.classified_ledger(last_periods(self.ledger, as_of or self.as_of, months), self.accounts, with_categories=False)
+
+    def classified_months(self, months: int, as_of: str | None = None) -> DataFrame:
+        rows = last_periods(self.ledger, as_of or self.as_of, months)
+        return pr.classified_ledger(rows, self.accounts, texts=store(category_texts(rows)))
+
     @cached_property
     def month_totals(self) -> DataFrame:
-        """Totals of every ledger and month by the rules alone, computed once."""
-        return cut_lineage(pr.period_totals(self.typed))
+        """Totals of every ledger by the rules alone over the six months that reports and projections look back, computed once."""
+        return cut_lineage(pr.period_totals(self.typed_months(6)))
 
     def rules(self, name: str) -> DataFrame:
         sql = driver_rules.VIEWS[name]

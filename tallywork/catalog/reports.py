@@ -196,7 +196,7 @@ def custom_range_totals(x: Inputs) -> DataFrame:
 
 
 def _reports(x: Inputs, months: int = 6) -> DataFrame:
-    return pr.period_reports(pr.period_totals(x.typed), x.accounts, x.as_of, months)
+    return pr.period_reports(pr.period_totals(x.typed_months(months)), x.accounts, x.as_of, months)
 
 
 @query(f"owner_id {MONTH} period_label:text {TEN} transaction_count", """
@@ -232,7 +232,7 @@ def period_trends(x: Inputs) -> DataFrame:
     return pr.period_trends(pr.period_view(_reports(x)))
 
 
-_FULL = f"""WITH legs AS MATERIALIZED {MONTH_LEGS}, refunded AS MATERIALIZED {MONTH_REFUNDS},
+FULL = f"""WITH legs AS MATERIALIZED {MONTH_LEGS}, refunded AS MATERIALIZED {MONTH_REFUNDS},
     exact AS (SELECT owner_id, fingerprint, target_type FROM type_overrides WHERE fingerprint IS NOT NULL),
     merchants AS (SELECT DISTINCT owner_id, merchant_norm FROM typed),
     pats AS (SELECT t.owner_id, t.merchant_norm, arg_min(o.target_type, o.rule_order) AS target_type FROM merchants t JOIN type_overrides o ON o.owner_id = t.owner_id
@@ -252,7 +252,7 @@ _FULL = f"""WITH legs AS MATERIALIZED {MONTH_LEGS}, refunded AS MATERIALIZED {MO
         WHEN is_recurring AND cadence IN ('weekly', 'monthly', 'annual', 'biweekly', 'quarterly') THEN 'fixed' WHEN is_habitual THEN 'variable' ELSE 'other' END AS bucket FROM judged)"""
 
 
-@query(f"owner_id {MONTH} {TEN} fixed_obligations_cents variable_essentials_cents transaction_count net_cents", _FULL + """
+@query(f"owner_id {MONTH} {TEN} fixed_obligations_cents variable_essentials_cents transaction_count net_cents", FULL + """
     SELECT *, income_cents + refunds_cents - fixed_obligations_cents - variable_essentials_cents - discretionary_cents AS net_cents FROM (
         SELECT owner_id, month AS period_start, sum(CASE WHEN kind = 'INCOME' THEN amount_cents ELSE 0 END) AS income_cents,
             sum(CASE WHEN bucket = 'fixed' THEN abs(amount_cents) ELSE 0 END) AS fixed_obligations_cents,
@@ -264,24 +264,26 @@ _FULL = f"""WITH legs AS MATERIALIZED {MONTH_LEGS}, refunded AS MATERIALIZED {MO
         FROM bucketed GROUP BY owner_id, month) AS sums""")
 def full_period_report(x: Inputs) -> DataFrame:
     """Every input of the report: pairs and refunds per period, patterns, overrides, rules."""
-    return pr.period_totals(_full_rows(x))
+    return pr.period_totals(full_rows(x))
 
 
-@query("owner_id fingerprint:text txn_type:text bucket:text paired:flag", _FULL + """
+@query("owner_id fingerprint:text txn_type:text bucket:text paired:flag", FULL + """
     SELECT owner_id, fingerprint, kind AS txn_type, CASE WHEN kind = 'EXPENSE' AND set_type IS NULL THEN bucket END AS bucket, paired FROM bucketed""")
 def fully_classified_rows(x: Inputs) -> DataFrame:
     """The rows behind the full report."""
     names = {c.FIXED: "fixed", c.VARIABLE: "variable", c.DISCRETIONARY: "other"}
     bucket = F.coalesce(*[F.when(F.col("spending_bucket") == name, F.lit(short)) for name, short in names.items()])
-    return _full_rows(x).withColumn("bucket", bucket).withColumn("paired", F.coalesce("is_paired", F.lit(False)))
+    return full_rows(x).withColumn("bucket", bucket).withColumn("paired", F.coalesce("is_paired", F.lit(False)))
 
 
-def _full_rows(x: Inputs) -> DataFrame:
-    keyed = x.stored.withColumn("period_start", dates.period_start(F.col("posted_at")))
+def full_rows(x: Inputs, ledger: DataFrame | None = None) -> DataFrame:
+    """Rows of the ledger, or of a cut of it, with all that the full report reads."""
+    ledger = x.stored if ledger is None else ledger
+    keyed = ledger.withColumn("period_start", dates.period_start(F.col("posted_at")))
     pairs = transfer_pairs(keyed, keys=("owner_id", "period_start")).drop("period_start")
-    refunds = period_refund_matches(x.stored).drop("period_start")
+    refunds = period_refund_matches(ledger).drop("period_start")
     return pr.classified_ledger(
-        x.stored, x.accounts, pairs=pairs, refunds=refunds, patterns=x.patterns,
+        ledger, x.accounts, pairs=pairs, refunds=refunds, patterns=x.patterns,
         type_overrides=x.rules("type_overrides"), merchant_rules=x.rules("merchant_rules"), with_categories=False)
 
 
@@ -332,7 +334,7 @@ def integrity_scores(x: Inputs) -> DataFrame:
     return pr.integrity(pr.period_totals(x.typed)).withColumn("flags", F.to_json("flags"))
 
 
-@query("owner_id period_start:text task_type:text priority affected_cents priority_label:text", _FULL + """,
+@query("owner_id period_start:text task_type:text priority affected_cents priority_label:text", FULL + """,
     credits AS (SELECT owner_id, month, sum(amount_cents) AS cents FROM bucketed WHERE kind = 'CREDIT_OTHER' GROUP BY 1, 2),
     loose AS (SELECT owner_id, month FROM bucketed WHERE amount_cents <> 0 AND NOT paired GROUP BY 1, 2)
     SELECT owner_id, month AS period_start, 'CLASSIFY_CREDIT' AS task_type, 1 AS priority, cents AS affected_cents, 'Critical' AS priority_label FROM credits
@@ -340,7 +342,7 @@ def integrity_scores(x: Inputs) -> DataFrame:
 def resolution_tasks(x: Inputs) -> DataFrame:
     """Of the full report, with unmatched legs counted."""
     month = ["owner_id", "period_start"]
-    rows = cut_lineage(_full_rows(x).withColumn("period_start", dates.period_start(F.col("posted_at"))))
+    rows = cut_lineage(full_rows(x).withColumn("period_start", dates.period_start(F.col("posted_at"))))
     counts = rows.filter("amount_cents <> 0 and is_paired is null").groupBy(*month).agg(F.count("*").alias("unmatched_transfer_count"))
     return pr.resolution_tasks(pr.integrity(pr.period_totals(rows).join(counts, month, "left")))
 
@@ -354,13 +356,13 @@ _IN_SCOPE = {
 }
 
 
-@query("owner_id period_start:text scope:text row_count scope_total_cents excluded_transfer_count excluded_credit_count", _FULL + " UNION ALL ".join(f"""
+@query("owner_id period_start:text scope:text row_count scope_total_cents excluded_transfer_count excluded_credit_count", FULL + " UNION ALL ".join(f"""
     SELECT owner_id, month AS period_start, '{name}' AS scope, count(CASE WHEN {inside} THEN 1 END) AS row_count, sum(CASE WHEN {inside} THEN {value} ELSE 0 END) AS scope_total_cents,
         count(CASE WHEN NOT ({inside}) AND kind = 'TRANSFER' THEN 1 END) AS excluded_transfer_count,
         count(CASE WHEN NOT ({inside}) AND kind = 'CREDIT_OTHER' THEN 1 END) AS excluded_credit_count FROM bucketed GROUP BY 1, 2""" for name, (inside, value) in _IN_SCOPE.items()))
 def drill_down_scopes(x: Inputs) -> DataFrame:
     """Every scope of the full report."""
-    rows, every = cut_lineage(_full_rows(x)), None
+    rows, every = cut_lineage(full_rows(x)), None
     for scope in _IN_SCOPE:
         part = pr.drill_down_totals(rows, scope).withColumn("scope", F.lit(scope))
         every = part if every is None else every.unionByName(part)
@@ -477,7 +479,7 @@ _OCTOBER = "period_start = DATE '2001-10-01'"
         monthly_target_cents - coalesce(net_cents, 0) AS remaining_cents, round(coalesce(net_cents, 0) * 100.0 / monthly_target_cents, 1) AS percent_used
     FROM budget_targets t LEFT JOIN (SELECT * FROM breakdown WHERE {_OCTOBER}) b ON b.owner_id = t.owner_id AND b.category = t.category_id""")
 def budget_status(x: Inputs) -> DataFrame:
-    return pr.budget_status(pr.category_breakdown(x.classified).filter(_OCTOBER), x.rules("budget_targets"))
+    return pr.budget_status(pr.category_breakdown(x.classified_months(2)).filter(_OCTOBER), x.rules("budget_targets"))
 
 
 @query("owner_id total_budget_cents total_spent_cents total_remaining_cents total_percent_used:real", f"""
@@ -496,7 +498,7 @@ def budget_totals(x: Inputs) -> DataFrame:
     FROM budget_targets t FULL JOIN (SELECT * FROM breakdown WHERE {_OCTOBER}) b ON b.owner_id = t.owner_id AND b.category = t.category_id
     WHERE coalesce(monthly_target_cents, 0) > 0 OR coalesce(net_cents, 0) > 0""")
 def budget_page(x: Inputs) -> DataFrame:
-    return pr.budget_page(pr.category_breakdown(x.classified).filter(_OCTOBER), x.rules("budget_targets"))
+    return pr.budget_page(pr.category_breakdown(x.classified_months(2)).filter(_OCTOBER), x.rules("budget_targets"))
 
 
 # --- drill-down and review -------------------------------------------------------------------
@@ -623,7 +625,7 @@ _AVERAGES = f"""WITH a AS (SELECT owner_id, category, sum(CASE WHEN period_start
 @query("owner_id category:text current_cents previous_cents avg_cents outlier_percent", _AVERAGES + """
     SELECT *, CASE WHEN avg_cents > 0 AND current_cents > avg_cents THEN (current_cents - avg_cents) * 100 // avg_cents END AS outlier_percent FROM a""")
 def category_averages(x: Inputs) -> DataFrame:
-    return dashboard.category_averages(pr.category_breakdown(x.classified), x.as_of)
+    return dashboard.category_averages(pr.category_breakdown(x.classified_months(4)), x.as_of)
 
 
 @query("owner_id place category:text delta_cents", _AVERAGES + """
@@ -662,7 +664,7 @@ def month_pace(x: Inputs) -> DataFrame:
     SELECT owner_id, category, 3 AS months_increasing, m0 AS current_cents, CAST(floor((m1 + m2 + m3) / 3.0) AS BIGINT) AS avg_cents
     FROM z WHERE m0 > m1 AND m1 > m2 AND m2 > m3""")
 def rising_categories(x: Inputs) -> DataFrame:
-    return dashboard.rising_categories(dashboard.category_history(pr.category_breakdown(x.classified), x.as_of))
+    return dashboard.rising_categories(dashboard.category_history(pr.category_breakdown(x.classified_months(4)), x.as_of))
 
 
 @query("owner_id merchant_norm:text current_cents avg_cents deviation_pct", """
@@ -674,7 +676,7 @@ def rising_categories(x: Inputs) -> DataFrame:
     SELECT *, abs(current_cents - avg_cents) * 100 // avg_cents AS deviation_pct FROM f
     WHERE current_cents IS NOT NULL AND past >= 2 AND avg_cents > 0 AND abs(current_cents - avg_cents) * 100.0 / avg_cents > 15""")
 def bill_deviations(x: Inputs) -> DataFrame:
-    return dashboard.bill_deviations(x.typed, bills(x.patterns), x.as_of)
+    return dashboard.bill_deviations(x.typed_months(4), bills(x.patterns), x.as_of)
 
 
 @query("owner_id row_count total_cents display_name:text updated_count", f"""

@@ -85,6 +85,13 @@ def look_back(ledger: DataFrame, as_of: str | dt.date, days: int) -> DataFrame:
     return ledger.filter(F.col("posted_at").between(dates.as_date(first), dates.as_date(anchor)))
 
 
+def last_periods(ledger: DataFrame, as_of: str | dt.date, count: int, period: str = "month") -> DataFrame:
+    """Rows of the last `count` periods up to the one that holds as_of: what a report over them reads, cut before anything is typed."""
+    day = F.lit(str(as_of)).cast("date")
+    first = F.add_months(dates.period_start(day, period), -(count - 1) * dates.PERIOD_MONTHS[period])
+    return ledger.filter(dates.in_range(F.col("posted_at"), first, dates.period_end(day, period)))
+
+
 def search(
     ledger: DataFrame,
     accounts_dim: DataFrame,

@@ -266,6 +266,22 @@ def integrity(counts: DataFrame, accounts: Sequence[str] | DataFrame | None = No
         "is_actionable", F.col("score") >= ACTIONABLE).withColumn("badge", labels.integrity_badge(F.col("score")))
 
 
+def integrity_counts(classified: DataFrame, reconciliations: DataFrame | None = None, period: str = "month", keys: Sequence[str] = KEYS) -> DataFrame:
+    """What integrity reads besides the totals, per ledger and period: legs of no pair, copies of one merchant, day and
+    amount beyond the first, and the signed delta of the largest discrepancy among statements dated in the period."""
+    scope = [*keys, "period_start"]
+    rows = classified.withColumn("period_start", dates.period_start(F.col("posted_at"), period))
+    paired = F.coalesce(F.col("is_paired"), F.lit(False)) if "is_paired" in rows.columns else F.lit(False)
+    alike = rows.groupBy(*scope, "merchant_norm", "posted_at", "amount_cents").agg(
+        F.count("*").alias("copies"), F.count_if(~paired & (F.col("amount_cents") != 0)).alias("loose"))
+    counts = alike.groupBy(*scope).agg(F.sum("loose").alias("unmatched_transfer_count"), F.sum(F.col("copies") - 1).alias("duplicate_suspect_count"))
+    if reconciliations is None:
+        return counts
+    failed = reconciliations.filter("status = 'discrepancy'").withColumn("period_start", dates.period_start(F.col("statement_date"), period))
+    worst = failed.groupBy(*scope).agg(F.max_by("delta_cents", F.struct(F.abs("delta_cents"), "account_id")).alias("reconciliation_delta_cents"))
+    return counts.join(worst, scope, "full").na.fill(0, ["unmatched_transfer_count", "duplicate_suspect_count", "reconciliation_delta_cents"])
+
+
 def resolution_tasks(assessed: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per task a flagged report asks for."""
     def n(name: str) -> Column:
