@@ -34,7 +34,7 @@ def ledger_period_scan(x: Inputs) -> DataFrame:
     return scan.period_scan(x.ledger, "2001-01-01", "2001-04-01")
 
 
-_HITS = f"""SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY posted_at DESC, fingerprint) AS hit_rank,
+HITS = f"""SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY posted_at DESC, fingerprint) AS hit_rank,
         ends_with(account_id, '-1') AS in_selection FROM norm
         WHERE (contains(lower(coalesce(merchant, '')), 'netflix') OR contains(lower(coalesce(description, '')), 'netflix'))
         AND posted_at BETWEEN {k.AS_OF} - 400 AND {k.AS_OF}"""
@@ -46,14 +46,14 @@ def _search(x: Inputs) -> DataFrame:
 
 @query("owner_id selected_count other_count truncated:flag", f"""
     SELECT owner_id, count(CASE WHEN in_selection THEN 1 END) AS selected_count, count(CASE WHEN NOT in_selection THEN 1 END) AS other_count,
-        count(*) > 15 AS truncated FROM ({_HITS}) AS hits GROUP BY owner_id""")
+        count(*) > 15 AS truncated FROM ({HITS}) AS hits GROUP BY owner_id""")
 def transaction_search(x: Inputs) -> DataFrame:
     return scan.search_summary(_search(x), limit=15)
 
 
 @query("owner_id hit_rank fingerprint:text posted_at:text amount_cents account_name:text in_selection:flag", f"""
     SELECT h.owner_id, hit_rank, fingerprint, posted_at, amount_cents, a.name AS account_name, in_selection
-    FROM ({_HITS}) AS h LEFT JOIN accounts a USING (account_id) WHERE hit_rank <= 15""")
+    FROM ({HITS}) AS h LEFT JOIN accounts a USING (account_id) WHERE hit_rank <= 15""")
 def transaction_search_rows(x: Inputs) -> DataFrame:
     return _search(x)
 

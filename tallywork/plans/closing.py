@@ -21,6 +21,11 @@ def snapshot_ids(ledger: DataFrame, runs: DataFrame | None = None, keys: Sequenc
     state = ledger.groupBy(*keys).agg(
         F.count("*").alias("row_count"), F.max("posted_at").alias("latest_posted"),
         F.max(F.coalesce(F.col("updated_at"), F.col("posted_at").cast("timestamp"))).alias("latest_updated"))
+    return with_snapshot_id(state, runs, keys)
+
+
+def with_snapshot_id(state: DataFrame, runs: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Adds the id to row_count, latest_posted and latest_updated of each ledger."""
     if runs is None:
         state = state.withColumn("latest_run", F.lit(None).cast("bigint"))
     else:

@@ -13,7 +13,8 @@ SAMPLE = ["period_totals", "monthly_reports", "classified_rows", "merchant_patte
           "statement_reconciliation", "month_close", "ledger_merge", "parsed_bank_rows", "commitment_board", "spending_plan",
           "transfer_pairs", "refund_matches", "full_period_report", "account_filtered_report", "empty_account_choice", "transaction_search", "audit_log",
           "bank_files_read_back", "bank_file_preview", "bank_file_counts", "income_by_rule_file", "user_range_totals", "last_day_included",
-          "streamed_ledger", "streamed_late_rows"]
+          "streamed_ledger", "streamed_late_rows", "indexed_search", "incremental_month_close", "incremental_snapshot_ids", "incremental_period_totals",
+          "full_period_trends", "full_integrity_scores", "five_label_analysis_with_patterns"]
 
 pytestmark = pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="driver tables are absent")
 
