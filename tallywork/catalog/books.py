@@ -16,7 +16,7 @@ from ..session import store
 from ..sinks import exports
 from ..sources import bank_files as bf
 from . import check_sql as k
-from .recurrence import STRICT_CHECK
+from .recurrence import ALL_GROUPS, STRICT_CHECK, SUBSCRIBED
 from .registry import Inputs, query
 from .reports import trends_check
 
@@ -383,13 +383,19 @@ def export_alerts(x: Inputs) -> DataFrame:
     return exports.alerts(alert_feed(x.charges, x.patterns))
 
 
-@query("owner_id group_type:text merchants:text monthly_total_usd:text severity:text detail:text")
+@query("owner_id group_type:text merchants:text monthly_total_usd:text severity:text detail:text", f"""
+    SELECT owner_id, group_type, array_to_string(names, '; ') AS merchants, CAST(total_monthly_cents / 100.0 AS DECIMAL(18, 2)) AS monthly_total_usd, severity, detail FROM ({ALL_GROUPS}) AS g""")
 def export_duplicates(x: Inputs) -> DataFrame:
     kept = kept_members(group_members(x.patterns))
     return exports.duplicates(group_summary(kept), kept)
 
 
-@query("owner_id merchant:text monthly_usd:text cadence:text is_duplicate:text")
+@query("owner_id merchant:text monthly_usd:text cadence:text is_duplicate:text", f"""
+    WITH named AS (SELECT DISTINCT owner_id, unnest(names) AS merchant_norm FROM ({ALL_GROUPS}) AS g), {SUBSCRIBED},
+    every AS (SELECT owner_id, merchant_norm, monthly_cents, cadence FROM first
+        UNION ALL SELECT owner_id, merchant_norm, CASE cadence WHEN 'annual' THEN cents // 12 WHEN 'quarterly' THEN cents // 3 ELSE cents END, cadence FROM second)
+    SELECT e.owner_id, e.merchant_norm AS merchant, CAST(monthly_cents / 100.0 AS DECIMAL(18, 2)) AS monthly_usd, cadence, CASE WHEN n.owner_id IS NULL THEN 'no' ELSE 'yes' END AS is_duplicate
+    FROM every e LEFT JOIN named n ON n.owner_id = e.owner_id AND n.merchant_norm = e.merchant_norm""")
 def export_subscriptions(x: Inputs) -> DataFrame:
     members = kept_members(group_members(x.patterns))
     return exports.subscriptions(rec.subscriptions(x.last_400_days, x.as_of, patterns=x.patterns, duplicate_members=members))

@@ -13,7 +13,9 @@ from ..plans import dashboard
 from ..plans import period_report as pr
 from ..session import cut_lineage
 from . import check_sql as k
-from .registry import Inputs, query
+from . import reports  # noqa: F401  (its checks are parts of one here)
+from .recurrence import ALL_GROUPS
+from .registry import CATALOG, Inputs, query
 
 ALERT = "owner_id posted_at:text merchant_norm:text amount_cents"
 
@@ -167,7 +169,17 @@ def largest_rows(x: Inputs) -> DataFrame:
     return det.largest_rows(x.ledger, x.as_of, 60, 10)
 
 
-@query("owner_id place section item_type:text item_key:text")
+_FEED_ITEMS = f"""WITH alert AS (SELECT owner_id, pattern_type || '|' || merchant_norm || '|' || amount_cents || '|' || posted_at AS item_key, -amount_cents AS item_rank
+        FROM ({_SUPPRESSED}) AS s WHERE pattern_type = 'unusual_amount'),
+    item AS (SELECT owner_id, 1 AS section, 'alert' AS item_type, item_key, item_rank, 4 AS most FROM alert
+        UNION ALL SELECT owner_id, 2, 'category_trend', 'trend_' || category, -current_cents, 2 FROM ({CATALOG['rising_categories'].check}) AS rising
+        UNION ALL SELECT owner_id, 3, 'bill_deviation', 'bill_' || merchant_norm, -current_cents, 2 FROM ({CATALOG['bill_deviations'].check}) AS off
+        UNION ALL SELECT owner_id, 4, 'duplicate_sub', 'dup_' || group_name, -total_monthly_cents, 4 FROM ({ALL_GROUPS}) AS twice WHERE severity = 'high'),
+    few AS (SELECT * FROM item QUALIFY row_number() OVER (PARTITION BY owner_id, section ORDER BY item_rank, item_key) <= most)"""
+
+
+@query("owner_id place section item_type:text item_key:text", _FEED_ITEMS + """
+    SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY section, item_rank, item_key) AS place FROM few QUALIFY place <= 4""")
 def attention_feed(x: Inputs) -> DataFrame:
     rows = x.charges
     alerts = cut_lineage(det.alert_feed(rows, x.patterns, x.rules("merchant_rules")))

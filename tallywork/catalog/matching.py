@@ -16,12 +16,12 @@ _WORDS = (f"({k.has_any('merchant_norm', k.kw.PAIR_TRANSFER)} OR {k.whole_word('
           f"OR {k.has_any('merchant_norm', k.kw.PAIR_CARD_PAYMENT)})")
 _LOTS = f"""WITH legs AS (SELECT owner_id, account_id, posted_at, abs(amount_cents) AS cents, amount_cents < 0 AS out, {_WORDS} AS worded FROM posted WHERE amount_cents <> 0),
     lots AS MATERIALIZED (SELECT owner_id, account_id, posted_at, cents, out, worded, count(*) AS n FROM legs GROUP BY ALL),
-    days AS (SELECT *, posted_at + CAST(d AS INT) AS near_day FROM lots, unnest([-3, -2, -1, 0, 1, 2, 3]) AS u(d) WHERE out),
-    ins AS (SELECT * FROM lots WHERE NOT out),
+    days AS (SELECT *, posted_at + CAST(d AS INT) AS near_day, cents // 301 + b AS near_band FROM lots, unnest([-3, -2, -1, 0, 1, 2, 3]) AS u(d), unnest([-1, 0, 1]) AS v(b) WHERE out),
+    ins AS (SELECT *, cents // 301 AS band FROM lots WHERE NOT out),
     near AS (SELECT o.owner_id, o.account_id AS out_account_id, i.account_id AS in_account_id, o.posted_at AS out_posted_at, i.posted_at AS in_posted_at,
         o.cents AS out_cents, i.cents AS in_cents, o.n AS out_n, i.n AS in_n, abs(o.d) AS days_apart, abs(o.cents - i.cents) AS cents_apart,
         o.worded AS out_worded, i.worded AS in_worded
-        FROM days o JOIN ins i ON o.owner_id = i.owner_id AND o.near_day = i.posted_at WHERE o.account_id <> i.account_id AND abs(o.cents - i.cents) <= 300)"""
+        FROM days o JOIN ins i ON o.owner_id = i.owner_id AND o.near_day = i.posted_at AND o.near_band = i.band WHERE o.account_id <> i.account_id AND abs(o.cents - i.cents) <= 300)"""
 
 
 @query("owner_id out_account_id:text in_account_id:text out_posted_at:text in_posted_at:text out_cents in_cents out_n in_n score:real", _LOTS + """

@@ -143,7 +143,24 @@ def duplicate_group_candidates(x: Inputs) -> DataFrame:
     return rows.select("owner_id", "group_type", "group_name", "member_count", "total_monthly_cents").distinct()
 
 
-@query("owner_id group_type:text group_name:text member_count total_monthly_cents severity:text detail:text")
+def _kept_groups(dismissed: str) -> str:
+    """CTEs up to kept(owner_id, group_type, group_name, member_count, total, names): by falling cost, a group goes if it shares a merchant with one kept before."""
+    return _MEMBERS + f""",
+    sized AS (SELECT owner_id, group_type, group_name, count(*) AS member_count, sum(monthly_cents) AS total, list_sort(list(merchant_norm)) AS names,
+            '#' || group_type || '|' || group_name AS mark FROM m WHERE group_name <> '' GROUP BY owner_id, group_type, group_name HAVING count(*) >= 2),
+    free AS (SELECT * FROM sized g WHERE NOT EXISTS (SELECT 1 FROM ({dismissed}) d WHERE d.owner_id = g.owner_id AND list_contains(g.names, d.merchant_norm))),
+    chosen AS (SELECT owner_id, list_reduce(list(list_prepend(mark, names) ORDER BY total DESC, group_type = 'bundle_family', group_name),
+        lambda taken, one: CASE WHEN list_has_any(taken, one) THEN taken ELSE list_concat(taken, one) END) AS taken FROM free GROUP BY owner_id),
+    kept AS (SELECT free.* FROM free JOIN chosen USING (owner_id) WHERE list_contains(taken, mark))"""
+
+
+GROUP_ROWS = """SELECT owner_id, group_type, group_name, member_count, total AS total_monthly_cents, names, CASE WHEN group_type = 'bundle_family' THEN 'medium' ELSE 'high' END AS severity,
+    CASE WHEN group_type = 'bundle_family' THEN group_name || ': ' || member_count || ' overlapping services'
+        ELSE 'Similar merchant names: ' || array_to_string(names[1:3], ', ') END AS detail FROM kept"""
+ALL_GROUPS = f"{_kept_groups('SELECT 0 AS owner_id, NULL AS merchant_norm WHERE FALSE')} {GROUP_ROWS}"
+
+
+@query("owner_id group_type:text group_name:text member_count total_monthly_cents severity:text detail:text", f"{_kept_groups('SELECT * FROM dismissed')} {GROUP_ROWS}")
 def duplicate_groups(x: Inputs) -> DataFrame:
     return dup.duplicate_groups(x.patterns, x.rules("dismissed"))
 
@@ -279,14 +296,15 @@ def commitment_suggestions(x: Inputs) -> DataFrame:
 
 # --- plans and projections ---------------------------------------------------------------
 
-_BUCKETED = f"""WITH p6 AS ({k.patterns_of(210)}),
+def _bucketed_check(months: int) -> str:
+    return f"""WITH p6 AS ({k.patterns_of(35 * months)}),
     r AS (SELECT p.*, date_trunc('month', posted_at) AS month, q.is_transfer AS pt, q.is_recurring AS pr, q.is_habitual AS ph, q.cadence AS pc,
         CASE WHEN amount_cents <= 0 AND {k.has_any('p.merchant_norm', k.kw.CARD_PAYMENT)} THEN 'TRANSFER' WHEN q.is_transfer THEN 'TRANSFER'
             WHEN {k.has_any('p.merchant_norm', k.kw.TRANSFER)} THEN 'TRANSFER' WHEN amount_cents <= 0 THEN 'EXPENSE'
             WHEN {k.has_any('p.merchant_norm', k.kw.BANK)} AND {k.has_any('p.merchant_norm', k.kw.BANK_DIRECTION)} THEN 'TRANSFER'
             WHEN {k.has_any('p.merchant_norm', k.kw.REFUND)} THEN 'REFUND' WHEN {k.has_any('p.merchant_norm', k.kw.PAYROLL)} THEN 'INCOME' ELSE 'CREDIT_OTHER' END AS kind
         FROM posted p LEFT JOIN p6 q ON q.owner_id = p.owner_id AND q.merchant_norm = p.merchant_norm
-        WHERE posted_at >= DATE '2001-11-01' - 180 AND posted_at < DATE '2001-11-01'),
+        WHERE posted_at >= DATE '2001-11-01' - {30 * months} AND posted_at < DATE '2001-11-01'),
     b AS (SELECT *, CASE WHEN pr AND pc IN ('weekly', 'monthly', 'annual', 'biweekly', 'quarterly') THEN 'FIXED_OBLIGATIONS' WHEN ph THEN 'VARIABLE_ESSENTIALS'
         ELSE 'DISCRETIONARY' END AS bucket FROM r WHERE kind = 'EXPENSE'),
     mon AS (SELECT owner_id, bucket, month, sum(-amount_cents) AS cents, count(*) AS n, row_number() OVER (PARTITION BY owner_id, bucket ORDER BY month DESC) AS age
@@ -297,6 +315,9 @@ _BUCKETED = f"""WITH p6 AS ({k.patterns_of(210)}),
         CASE WHEN count(*) > 1 THEN greatest(0, 1 - stddev_pop(cents) / avg(cents)) ELSE 0.5 END AS predictability FROM mon GROUP BY 1, 2)"""
 
 
+_BUCKETED = _bucketed_check(6)
+
+
 def _bucketed(x: Inputs) -> DataFrame:
     return planner.bucketed_rows(x.last_400_days, x.as_of)
 
@@ -366,12 +387,15 @@ def upcoming_charges(x: Inputs) -> DataFrame:
     return planner.upcoming_charges(None, subs, rec.bills(x.patterns), x.as_of)
 
 
-@query("owner_id merchant_norm:text expected_date:text amount_cents confidence:real source:text", f"""
+_CHARGES = f"""
     WITH plan AS ({_BOARD} SELECT * FROM board WHERE status = 'confirmed' AND direction = 'expense' AND resolved_cents IS NOT NULL), {_UPCOMING.removeprefix('WITH ')}
     SELECT owner_id, lower(coalesce(nullif(merchant_norm, ''), name)) AS merchant_norm, next_due AS expected_date, resolved_cents AS amount_cents, 1.0 AS confidence, 'commitment' AS source
     FROM plan WHERE next_due BETWEEN {k.AS_OF} AND {k.AS_OF} + 30
     UNION ALL SELECT owner_id, merchant_norm, due, cents, confidence, source FROM up
-    WHERE NOT EXISTS (SELECT 1 FROM plan WHERE plan.owner_id = up.owner_id AND lower(plan.merchant_norm) = up.merchant_norm AND plan.merchant_norm <> '')""")
+    WHERE NOT EXISTS (SELECT 1 FROM plan WHERE plan.owner_id = up.owner_id AND lower(plan.merchant_norm) = up.merchant_norm AND plan.merchant_norm <> '')"""
+
+
+@query("owner_id merchant_norm:text expected_date:text amount_cents confidence:real source:text", _CHARGES)
 def upcoming_charges_with_commitments(x: Inputs) -> DataFrame:
     subs = rec.subscriptions(x.last_400_days, x.as_of, patterns=x.patterns)
     return planner.upcoming_charges(x.board, subs, rec.bills(x.patterns), x.as_of)
@@ -383,22 +407,41 @@ def _flow(x: Inputs, charges: DataFrame) -> DataFrame:
     return planner.cash_flow(charges, planner.income_estimate(reports, commitment_totals(x)), planner.flexible_estimate(plan))
 
 
-@query("owner_id expected_income_cents expected_fixed_cents expected_variable_cents expected_discretionary_cents expected_net_cents confidence:real")
+_INCOME = _BOARD + f""", {_CONFIRMED},
+    mean AS (SELECT owner_id, CAST(trunc(sum(income_cents) / CAST(sum(CAST(period_start + INTERVAL 1 MONTH AS DATE) - period_start) AS DOUBLE) * 30) AS BIGINT) AS m
+        FROM reports WHERE period_start >= DATE '2001-09-01' GROUP BY owner_id)
+    SELECT m.owner_id, CASE WHEN s.income_cents > 0 THEN CAST(trunc(s.income_cents * 30 / 30) AS BIGINT) ELSE m.m END AS expected_income_cents
+    FROM mean m LEFT JOIN sure s USING (owner_id)"""
+_FLOW = f"""
+    WITH charge AS ({_CHARGES}), income AS ({_INCOME}),
+    flexible AS ({_bucketed_check(3)}, inc AS (SELECT DISTINCT owner_id FROM r WHERE kind = 'INCOME')
+        SELECT owner_id, coalesce(max(monthly_avg_cents) FILTER (WHERE bucket = 'VARIABLE_ESSENTIALS'), 0) AS variable, coalesce(max(monthly_avg_cents) FILTER (WHERE bucket = 'DISCRETIONARY'), 0) AS discretionary
+        FROM s FULL JOIN inc USING (owner_id) GROUP BY owner_id),
+    fixed AS (SELECT owner_id, sum(amount_cents) AS cents, avg(confidence) AS confidence FROM charge GROUP BY owner_id),
+    parts AS (SELECT owner_id, coalesce(expected_income_cents, 0) AS expected_income_cents, coalesce(cents, 0) AS expected_fixed_cents, coalesce(variable, 0) AS expected_variable_cents,
+        coalesce(discretionary, 0) AS expected_discretionary_cents, coalesce(confidence, 0.5) AS confidence
+        FROM income FULL JOIN flexible USING (owner_id) FULL JOIN fixed USING (owner_id)),
+    flow AS (SELECT *, expected_income_cents - expected_fixed_cents - expected_variable_cents - expected_discretionary_cents AS expected_net_cents FROM parts)"""
+
+
+@query("owner_id expected_income_cents expected_fixed_cents expected_variable_cents expected_discretionary_cents expected_net_cents confidence:real", _FLOW + " SELECT * FROM flow")
 def cash_flow_projection(x: Inputs) -> DataFrame:
     return _flow(x, cut_lineage(upcoming_charges_with_commitments(x)))
 
 
-@query("owner_id expected_income_cents", _BOARD + f""", {_CONFIRMED},
-    mean AS (SELECT owner_id, CAST(trunc(sum(income_cents) / CAST(sum(CAST(period_start + INTERVAL 1 MONTH AS DATE) - period_start) AS DOUBLE) * 30) AS BIGINT) AS m
-        FROM reports WHERE period_start >= DATE '2001-09-01' GROUP BY owner_id)
-    SELECT m.owner_id, CASE WHEN s.income_cents > 0 THEN CAST(trunc(s.income_cents * 30 / 30) AS BIGINT) ELSE m.m END AS expected_income_cents
-    FROM mean m LEFT JOIN sure s USING (owner_id)""")
+@query("owner_id expected_income_cents", _INCOME)
 def income_estimate(x: Inputs) -> DataFrame:
     reports = pr.period_reports(x.month_totals, x.accounts, x.as_of, 3)
     return planner.income_estimate(reports, commitment_totals(x))
 
 
-@query("owner_id alert_type:text severity:text alert_date:text amount_cents merchant_norm:text")
+@query("owner_id alert_type:text severity:text alert_date:text amount_cents merchant_norm:text", _FLOW + f""",
+    fit AS (SELECT * FROM flow WHERE confidence >= 0.5), judged AS (SELECT c.*, expected_income_cents FROM charge c JOIN fit USING (owner_id))
+    SELECT owner_id, 'low_confidence' AS alert_type, 'low' AS severity, {k.AS_OF} AS alert_date, NULL AS amount_cents, NULL AS merchant_norm FROM flow WHERE confidence < 0.5
+    UNION ALL SELECT owner_id, 'shortfall', CASE WHEN expected_net_cents < -50000 THEN 'high' ELSE 'medium' END, {k.AS_OF} + 30, expected_net_cents, NULL FROM fit WHERE expected_net_cents < 0
+    UNION ALL SELECT owner_id, 'large_charge', 'medium', expected_date, amount_cents, merchant_norm FROM judged
+        WHERE expected_income_cents > 0 AND amount_cents * 100 / CAST(expected_income_cents AS DOUBLE) > 20
+    UNION ALL SELECT owner_id, 'multiple_charges', 'low', expected_date, sum(amount_cents), NULL FROM judged GROUP BY owner_id, expected_date HAVING count(*) >= 3""")
 def cash_flow_alerts(x: Inputs) -> DataFrame:
     charges = cut_lineage(upcoming_charges_with_commitments(x))
     month = x.month_totals.filter("period_start = DATE '2001-11-01'")

@@ -579,18 +579,29 @@ def notes_and_tags(x: Inputs) -> DataFrame:
     return rows.withColumn("tags", F.to_json("tags"))
 
 
-@query("owner_id period_start:text report_hash:text", """
+_HASHES = """
     SELECT owner_id, period_start, left(sha256('{"classifier_version":"1.0.0","end_date":"' || CAST(CAST(period_start + INTERVAL 1 MONTH AS DATE) AS VARCHAR)
         || '","report_version":"1.0.0","start_date":"' || CAST(period_start AS VARCHAR) || '","totals":{"credits_other_cents":' || CAST(credits_other_cents AS BIGINT)
         || ',"discretionary_cents":' || CAST(discretionary_cents AS BIGINT) || ',"fixed_obligations_cents":0,"income_cents":' || CAST(income_cents AS BIGINT)
         || ',"one_offs_cents":0,"refunds_cents":' || CAST(refunds_cents AS BIGINT) || ',"transfers_in_cents":' || CAST(transfers_in_cents AS BIGINT)
         || ',"transfers_out_cents":' || CAST(transfers_out_cents AS BIGINT) || ',"variable_essentials_cents":0},"transaction_count":' || transaction_count || '}'), 16) AS report_hash
-    FROM reports""")
+    FROM reports"""
+
+
+@query("owner_id period_start:text report_hash:text", _HASHES)
 def report_hashes(x: Inputs) -> DataFrame:
     return pr.report_hash(_reports(x))
 
 
-@query("owner_id period_start:text document:text")
+_TOTALS_TEXT = " || ',' || ".join(
+    f"""'"{n}":' || """ + ("'0'" if n in ("fixed_obligations_cents", "variable_essentials_cents", "one_offs_cents") else f"CAST({n} AS BIGINT)") for n in pr.TOTALS)
+
+
+@query("owner_id period_start:text document:text", f"""
+    WITH o AS (SELECT owner_id, count(*) AS n FROM type_overrides GROUP BY 1), h AS (SELECT h.owner_id, h.period_start, report_hash FROM ({{HASHES}}) AS h)
+    SELECT r.owner_id, r.period_start, '{{{{"period_label":"' || strftime(r.period_start, '%b %Y') || '","start_date":"' || r.period_start || '","end_date":"' || CAST(r.period_start + INTERVAL 1 MONTH AS DATE)
+        || '","totals":{{{{' || {_TOTALS_TEXT} || '}}}},"transaction_count":' || transaction_count || ',"report_hash":"' || report_hash || '","active_overrides":' || coalesce(n, 0) || '}}}}' AS document
+    FROM reports r JOIN h ON h.owner_id = r.owner_id AND h.period_start = r.period_start LEFT JOIN o ON o.owner_id = r.owner_id""".replace("{HASHES}", _HASHES).replace("{{", "{").replace("}}", "}"))
 def report_documents(x: Inputs) -> DataFrame:
     return pr.report_document(_reports(x), x.rules("type_overrides"))
 
