@@ -3,8 +3,9 @@
 Pages of a host are ordered by URL path, and a page is aligned, line by line, with its nearest neighbours on both sides
 by their longest common subsequence: what they share in that order is the host's template. The element that holds most
 of the text that is not shared is the main one. In an article or main element the lines go that two different neighbours
-share, so that an article that quotes one of them loses nothing, and menus, forms, comments and the like. Elsewhere all
-shared lines go, and marked-up navigation and notices with them.
+share, if they stand before or after all that is the page's own and are neither headings nor paragraphs, so that an article
+that repeats a title or quotes another one loses nothing; and menus, forms, comments and the like. Elsewhere all shared
+lines go, and marked-up navigation and notices with them.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ _BLOCK = frozenset(
 )
 _NEVER = frozenset("nav aside footer form menu dialog button label fieldset".split())
 _MAIN = frozenset(("article", "main"))
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote".split())
 _CLOSES_P = _BLOCK - {"br", "html", "body"}
 _ROLE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|advertisement|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|"
@@ -53,11 +55,12 @@ _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?tru
 
 @dataclass
 class Line:
-    """A block's text; the number of the article or main element around it (0: none); whether its element is never main text."""
+    """A block's text; the number of the article or main element around it (0: none); whether its element is never main text; whether it is a heading or paragraph."""
 
     text: str
     main: int
     never: bool
+    prose: bool = False
 
 
 def lines_of(html: str | None) -> list[Line]:
@@ -75,7 +78,8 @@ def lines_of(html: str | None) -> list[Line]:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Line(text, *here()))
+                block = next((tag for tag, _, _ in reversed(stack) if tag in _BLOCK), "")
+                out.append(Line(text, *here(), block in _PROSE))
 
     at = 0
     html = html or ""
@@ -161,8 +165,8 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 def main_text(lines: list[Line], shared: frozenset[int] | set[int], twice: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text of a page whose lines of numbers `shared` a neighbour has too, and `twice` two different ones.
 
-    In an article or main element the latter go. Where they would be over half of its text, the pages are near copies and
-    say nothing about the template; then the element's own marks decide alone."""
+    In an article or main element the latter go where they stand outside the page's own lines: before the first or after the last
+    line that no neighbour has. Headings and paragraphs stay, and so does all of a page that has no line of its own."""
     size: dict[int, int] = defaultdict(int)
     for i, line in enumerate(lines):
         if line.main and not line.never:
@@ -170,10 +174,9 @@ def main_text(lines: list[Line], shared: frozenset[int] | set[int], twice: froze
     if size:
         best = max(size, key=lambda k: (size[k], -k))
         own = [i for i, line in enumerate(lines) if line.main == best and not line.never]
-        left = [i for i in own if i not in twice]
-        if 2 * sum(len(lines[i].text) for i in left) < sum(len(lines[i].text) for i in own):
-            left = own
-        kept = [lines[i].text for i in left]
+        alone = [i for i in own if i not in shared]
+        first, last = (alone[0], alone[-1]) if alone else (-1, len(lines))
+        kept = [lines[i].text for i in own if first <= i <= last or i not in twice or lines[i].prose]
     else:
         kept = [line.text for i, line in enumerate(lines) if not line.never and i not in shared]
     return "\n".join(kept)

@@ -25,3 +25,12 @@ def test_many_copies_still_find_a_different_neighbour(spark):
     rows = [(k, f"http://h/m?q={k}", flat("the same")) for k in range(40)] + [(100, "http://h/a", flat("first")), (101, "http://h/z", flat("last"))]
     got = texts(spark, rows)
     assert got == {**{k: "the same" for k in range(40)}, 100: "first", 101: "last"}
+
+
+def test_titles_and_paragraphs_of_an_article_stay(spark):
+    """Neighbours with one title, one closing paragraph and one boxed line in the middle; only the boxes around the article's own lines go."""
+    def page(k):
+        return f"<body><main><div>Part of our series</div><h1>The same title</h1><p>own {k} a</p><div>boxed alike</div><p>own {k} b</p><p>The same last words</p><div>Read on</div></main></body>"
+
+    got = texts(spark, [(k, f"http://h/{k:03}", page(k)) for k in range(6)])
+    assert got == {k: f"The same title\nown {k} a\nboxed alike\nown {k} b\nThe same last words" for k in range(6)}
