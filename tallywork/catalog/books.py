@@ -16,6 +16,7 @@ from ..session import store
 from ..sinks import exports
 from ..sources import bank_files as bf
 from . import check_sql as k
+from .detection import FEED_TEXTS
 from .recurrence import ALL_GROUPS, STRICT_CHECK, SUBSCRIBED
 from .registry import Inputs, query
 from .reports import trends_check
@@ -378,7 +379,8 @@ def export_actions(x: Inputs) -> DataFrame:
     return exports.actions(rec.strict_candidates(x.last_400_days, x.as_of), x.rules("watchlist"))
 
 
-@query("owner_id posted_at:text merchant:text amount_usd:text pattern_type:text severity:text detail:text")
+@query("owner_id posted_at:text merchant:text amount_usd:text pattern_type:text severity:text detail:text", f"""
+    SELECT owner_id, posted_at, merchant_norm AS merchant, CAST(amount_cents / 100.0 AS DECIMAL(18, 2)) AS amount_usd, pattern_type, severity, detail FROM ({FEED_TEXTS}) AS f""")
 def export_alerts(x: Inputs) -> DataFrame:
     return exports.alerts(alert_feed(x.charges, x.patterns))
 

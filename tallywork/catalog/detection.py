@@ -24,23 +24,23 @@ def _rows(x: Inputs) -> DataFrame:
     return x.charges
 
 
-_DUPLICATE = """SELECT DISTINCT a.owner_id, b.posted_at, a.merchant_norm, -a.amount_cents AS amount_cents, a.posted_at AS related_date
+_DUPLICATE = """SELECT DISTINCT a.owner_id, b.posted_at, a.merchant_norm, -a.amount_cents AS amount_cents, a.posted_at AS related_date, 0 AS extra
     FROM recent60 a JOIN recent60 b ON a.owner_id = b.owner_id AND a.merchant_norm = b.merchant_norm AND a.amount_cents = b.amount_cents
     AND a.account_name IS NOT DISTINCT FROM b.account_name AND b.posted_at - a.posted_at BETWEEN 1 AND 3 WHERE a.amount_cents < 0"""
-_UNUSUAL = """SELECT r.owner_id, r.posted_at, r.merchant_norm, -r.amount_cents AS amount_cents, CAST(NULL AS DATE) AS related_date FROM recent60 r
+_UNUSUAL = """SELECT r.owner_id, r.posted_at, r.merchant_norm, -r.amount_cents AS amount_cents, CAST(NULL AS DATE) AS related_date, median_cents AS extra FROM recent60 r
     JOIN patterns p ON p.owner_id = r.owner_id AND p.merchant_norm = r.merchant_norm
     WHERE occurrence_count >= 4 AND median_cents > 0 AND -amount_cents > 2 * median_cents AND -amount_cents > 2000"""
-_TEST = "SELECT owner_id, posted_at, merchant_norm, -amount_cents AS amount_cents, CAST(NULL AS DATE) AS related_date FROM recent60 WHERE amount_cents BETWEEN -100 AND -1"
-_ROUND = """SELECT f.owner_id, f.posted_at, f.merchant_norm, -f.amount_cents AS amount_cents, CAST(NULL AS DATE) AS related_date
+_TEST = "SELECT owner_id, posted_at, merchant_norm, -amount_cents AS amount_cents, CAST(NULL AS DATE) AS related_date, 0 AS extra FROM recent60 WHERE amount_cents BETWEEN -100 AND -1"
+_ROUND = """SELECT f.owner_id, f.posted_at, f.merchant_norm, -f.amount_cents AS amount_cents, CAST(NULL AS DATE) AS related_date, 0 AS extra
     FROM (SELECT * FROM recent60 QUALIFY row_number() OVER (PARTITION BY owner_id, merchant_norm ORDER BY posted_at, fingerprint) = 1) f
     LEFT JOIN patterns p ON p.owner_id = f.owner_id AND p.merchant_norm = f.merchant_norm
     WHERE coalesce(occurrence_count, 0) <= 1 AND amount_cents IN (-5000, -10000, -15000, -20000, -25000)"""
-_RAPID = """SELECT owner_id, posted_at, merchant_norm, amount_cents, CAST(NULL AS DATE) AS related_date FROM (
+_RAPID = """SELECT owner_id, posted_at, merchant_norm, amount_cents, CAST(NULL AS DATE) AS related_date, n AS extra FROM (
     SELECT d.owner_id, d.posted_at, d.merchant_norm, sum(-r.amount_cents) AS amount_cents, count(*) AS n
     FROM (SELECT DISTINCT owner_id, merchant_norm, posted_at FROM recent60 WHERE amount_cents < 0) d
     JOIN recent60 r ON r.owner_id = d.owner_id AND r.merchant_norm = d.merchant_norm AND r.amount_cents < 0 AND r.posted_at - d.posted_at BETWEEN 0 AND 1 GROUP BY 1, 2, 3) AS b
     WHERE n >= 3 QUALIFY row_number() OVER (PARTITION BY owner_id, merchant_norm ORDER BY posted_at) = 1"""
-_RECHARGE = """SELECT r.owner_id, c.posted_at, r.merchant_norm, -c.amount_cents AS amount_cents, r.posted_at AS related_date FROM recent60 r
+_RECHARGE = """SELECT r.owner_id, c.posted_at, r.merchant_norm, -c.amount_cents AS amount_cents, r.posted_at AS related_date, r.amount_cents AS extra FROM recent60 r
     JOIN recent60 c ON c.owner_id = r.owner_id AND c.merchant_norm = r.merchant_norm AND c.amount_cents < 0 AND c.posted_at - r.posted_at BETWEEN 0 AND 7
     AND abs(-c.amount_cents - r.amount_cents) <= r.amount_cents * 0.2 WHERE r.amount_cents > 0
     QUALIFY row_number() OVER (PARTITION BY r.owner_id, r.fingerprint ORDER BY c.posted_at, -c.amount_cents) = 1"""
@@ -93,6 +93,12 @@ def refund_recharges(x: Inputs) -> DataFrame:
 _FEED = " UNION ALL ".join(f"SELECT *, '{kind}' AS pattern_type, '{level}' AS severity FROM ({sql}) AS {kind}" for kind, level, sql in (
     ("duplicate_charge", "high", _DUPLICATE), ("unusual_amount", "high", _UNUSUAL), ("test_charge", "medium", _TEST),
     ("round_amount_spike", "medium", _ROUND), ("rapid_fire", "medium", _RAPID), ("refund_recharge", "low", _RECHARGE)))
+_DOLLARS = "'$' || format('{{:.2f}}', CAST({} AS DOUBLE) / 100)".format
+FEED_TEXTS = f"""SELECT *, CASE pattern_type WHEN 'duplicate_charge' THEN 'charged twice: ' || {_DOLLARS('amount_cents')} || ' on ' || related_date || ' and ' || posted_at
+    WHEN 'unusual_amount' THEN {_DOLLARS('amount_cents')} || ' is ' || format('{{:.1f}}', floor(amount_cents / CAST(nullif(extra, 0) AS DOUBLE) * 10 + 0.5) / 10) || 'x the usual ' || {_DOLLARS('extra')}
+    WHEN 'test_charge' THEN 'tiny charge, perhaps a card check: ' || {_DOLLARS('amount_cents')} WHEN 'round_amount_spike' THEN 'new merchant starts with a round $' || amount_cents // 100
+    WHEN 'rapid_fire' THEN extra || ' charges within a day, together ' || {_DOLLARS('amount_cents')}
+    ELSE 'Refund ' || {_DOLLARS('extra')} || ' on ' || related_date || ', then charge ' || {_DOLLARS('amount_cents')} || ' on ' || posted_at END AS detail FROM ({_FEED}) AS every"""
 _SUPPRESSED = f"""SELECT f.* FROM ({_FEED}) AS f WHERE NOT EXISTS (SELECT 1 FROM merchant_rules r WHERE r.owner_id = f.owner_id
     AND r.merchant_pattern = f.merchant_norm AND r.rule_type IN ('trust', 'trust_' || f.pattern_type))"""
 
