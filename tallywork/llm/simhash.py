@@ -136,7 +136,8 @@ def link_buckets(rows: DataFrame, lanes: list[str], radius: int, node: str) -> D
                 pairs = np.unique(np.stack([ids[a], ids[b]], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    spread = split_buckets(rows).repartition("bucket").sortWithinPartitions("bucket")
+    # In the order of the nodes the root of a bucket's forest is its least node, so buckets of one group give much the same edges.
+    spread = split_buckets(rows).repartition("bucket").sortWithinPartitions("bucket", node)
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -292,7 +293,7 @@ def exact_links(docs: DataFrame, nodes: DataFrame, similarity: float, words: int
     texts = docs.select(F.xxhash64(docs[text]).alias("of"), docs[text].alias("text"))
     found = texts.join(nodes, texts["of"] == nodes["th"]).dropDuplicates(["node"]).select("root", "node", "text")
     rows = store(found.mapInPandas(sets, "bucket long, node long, shingles binary"))
-    spread = split_buckets(rows, BLOCK_SETS).repartition("bucket").sortWithinPartitions("bucket")
+    spread = split_buckets(rows, BLOCK_SETS).repartition("bucket").sortWithinPartitions("bucket", "node")
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
