@@ -71,6 +71,8 @@ def test_variants_equal_brute_force(spark, made_words, most):
 def test_words_of_texts(spark, hard_rows, clashing):
     rows = hard_rows + [(500, "CAFÉS cafés Cafés cafésłcafés CAFés"), (501, "one-two,five5sixes fives " * 40), (502, "edited " * 300), (None, "Stonee stones STONE " * 30)]
     rows += [(600 + k, "variants of variant varjant words") for k in range(300)]
+    shortened = next(k for k in range(2000, 4000) if zlib.crc32(f"{k}:unchanged".encode()) % 97 == 0)
+    rows.append((shortened, "Unchanged " * 5))
     got = spelling.vocabulary(clashing(spark.createDataFrame(rows, "doc_id long, text string")))
     assert {r.word: r.n for r in got.collect()} == brute_words(rows)
     assert any(n >= 3 and w not in " ".join(t or "" for _, t in rows).lower() for w, n in brute_words(rows).items())  # letters were deleted

@@ -6,6 +6,12 @@ import pytest
 from tallywork.llm import vectorlinks
 
 
+def scaled(v):
+    """By a power of two, which costs no digit; dividing by the largest component would."""
+    v = np.array(v, float)
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+
+
 def brute(rows, similarity=0.9):
     def ok(v):
         return v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
@@ -19,12 +25,10 @@ def brute(rows, similarity=0.9):
         return k
 
     for n, a in enumerate(use):
-        x = np.array(rows[a][1], float)
-        x = x / np.abs(x).max()
+        x = scaled(rows[a][1])
         for b in use[:n]:
-            y = np.array(rows[b][1], float)
-            y = y / np.abs(y).max()
-            if len(x) == len(y) and (x * y).sum() / np.sqrt((x * x).sum() * (y * y).sum()) >= similarity:
+            y = scaled(rows[b][1])
+            if len(x) == len(y) and (x * y).sum() / (np.linalg.norm(x) * np.linalg.norm(y)) >= similarity:
                 links[a] += 1
                 links[b] += 1
                 root[find(a)] = find(b)
