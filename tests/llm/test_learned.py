@@ -99,7 +99,8 @@ def test_secrets_are_told_from_numbers(hard_docs, no_docs):
 def test_secrets_forest_on_findings_it_has_not_seen(tables):
     docs, _ = tables
     made = secrets.made_findings(docs, 1000)
-    model = secrets.fit(made.filter("pmod(key, 5) > 0"), docs)
-    test = model.transform(secrets.described(made.filter("pmod(key, 5) = 0"), docs))
+    known = secrets.dictionary(docs, made)
+    model = secrets.fit(made.filter("pmod(key, 5) > 0"), known)
+    test = model.transform(secrets.described(made.filter("pmod(key, 5) = 0"), known))
     rows = test.select("label", "prediction").collect()
     assert len(rows) > 100 and np.mean([r.label == r.prediction for r in rows]) > 0.97
