@@ -55,5 +55,39 @@ def test_steps_hold_the_same_number_of_tokens(spark):
     assert len(per) > 5 and {per[k] for k in sorted(per)[:-1]} == {2048}
 
 
+def test_tiers_have_windows_of_their_own_and_steps_mix_them(spark):
+    docs = spark.createDataFrame([(k, "word " * (3 + 53 * k % (700 if k % 8 == 0 else 90))) for k in range(4000)], "doc_id long, text string").repartition(3)
+    windows, steps = {}, defaultdict(lambda: defaultdict(int))
+    rows = packing.pack(docs, PATH, window=512, steps=16).collect()
+    for r in rows:
+        assert windows.setdefault(r.sequence_id, (r.window, r.step)) == (r.window, r.step)
+    for size, step in windows.values():
+        steps[step][size] += 1
+    sums = {k: sum(size * n for size, n in of.items()) for k, of in steps.items()}
+    last = max(sums)
+    assert set(sums) == set(range(last + 1)) and last > 5 and {sums[k] for k in range(last)} == {16 * 512} and 0 < sums[last] <= 16 * 512
+    assert {size for size, _ in windows.values()} >= {512, 128, 64}
+    for size in (512, 128, 64):  # each step has its share, but for what a bundle holds
+        tokens = [steps[k][size] * size for k in range(last)]
+        assert max(tokens) - min(tokens) <= 2 * 512
+    # A short document is whole in one window unless it is the one cut to fill it.
+    whole = sum(r.length == r.doc_tokens for r in rows if r.doc_tokens <= 512)
+    assert whole > 0.6 * sum(r.doc_tokens <= 512 and r.start == 0 for r in rows)
+
+
+def test_other_vocabularies_are_encoded_whole():
+    from tokenizers import models, pre_tokenizers
+
+    alphabet = {c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}
+    cased = Tokenizer(models.BPE(vocab=alphabet, merges=[]))
+    cased.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    words = packing.WordIds(cased.to_str())
+    assert not words.by_pieces and packing.WordIds(open(PATH, encoding="utf-8").read()).by_pieces
+    for text in ("The Cat  sat", "", " x\n"):
+        assert np.frombuffer(words.of(text), "<u4").tolist() == cased.encode(text, add_special_tokens=False).ids
+    with pytest.raises(ValueError):
+        packing.Packer(1000, 0)
+
+
 def test_empty_table(no_docs):
     assert packing.pack(no_docs, PATH).count() == 0
