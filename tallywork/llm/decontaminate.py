@@ -175,7 +175,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 13) ->
     """The rows of `docs` that are not contaminated, whole; a row without an id is judged by its text like any other.
 
     Rows are told apart by id and text, so equal rows share one verdict."""
-    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    marked = docs.withColumn("_row_key", key)
-    bad = contamination(marked, items, window, doc_id="_row_key").filter("contaminated").select(F.col("doc_id").alias("bad")).distinct()
-    return marked.join(bad, marked["_row_key"] == bad["bad"], "left_anti").select(*docs.columns)
+    key = F.xxhash64(docs["doc_id"].cast("string"), docs["text"])
+    bad = contamination(docs.select(key.alias("row_key"), docs["text"]), items, window, doc_id="row_key").filter("contaminated")
+    bad = bad.select(F.col("doc_id").alias("bad_key")).distinct()
+    return docs.join(bad, key == bad["bad_key"], "left_anti")

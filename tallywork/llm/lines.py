@@ -28,7 +28,9 @@ def _words(line: Column) -> Column:
 def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, th (hash of the text), i (line number from 0), h (hash of the line), words, chunk (its number), line. A null text has no lines."""
     d = named(docs, doc_id=doc_id, text=text).filter(F.col("text").isNotNull())
-    d = d.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    # The lines are parted and the text hashed before they are dealt out, so that no line carries its whole text.
+    d = d.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("all"))
+    d = d.select("doc_id", "th", F.posexplode("all").alias("i", "line"))
     d = d.withColumn("h", F.xxhash64("line")).withColumn("words", _words(F.col("line")))
     return d
 
@@ -112,18 +114,27 @@ def _passages(rows: DataFrame, over_words: int) -> DataFrame:
     return made.select("doc_id", "th", "a", "b", F.xxhash64("content").alias("k1"), F.xxhash64(F.lit(1), "content").alias("k2")).distinct()
 
 
+def _at(items: Column, places: Column) -> Column:
+    """The items at sorted places. Both arrays are arguments of one function, so each is made once a row, not once an item."""
+    held = F.array(F.named_struct(F.lit("items"), items, F.lit("places"), places))
+    return F.flatten(F.transform(held, lambda x: F.transform(x["places"], lambda i: F.get(x["items"], i))))
+
+
 def without_repeats(docs: DataFrame, over_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` with the kept lines as text, and two more columns: lines_before, lines_dropped.
 
     No row is dropped: a document all of whose lines occur earlier is left with an empty text. A null text stays null with
-    0 lines, an empty text is one empty line. An empty table gives no rows. Columns of the caller pass through."""
+    0 lines, an empty text is one empty line. An empty table gives no rows. Columns of the caller pass through, but for
+    those named lines_before or lines_dropped, which are replaced."""
     drops = repeated_lines(docs, over_words, doc_id, text).select(F.col("doc_id").alias("_drop_id"), F.col("th").alias("_drop_th"), F.col("drop").alias("_drop"))
     joined = docs.join(drops, docs[doc_id].eqNullSafe(drops["_drop_id"]) & (F.xxhash64(docs[text]) == drops["_drop_th"]), "left")
     lines = F.split(docs[text], "\n", -1)
-    gone = F.coalesce("_drop", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(gone, i)), "\n")
-    new = {text: F.when(F.col("_drop").isNull(), docs[text]).otherwise(kept)}
+    # Numbers of the lines that stay, as a difference of sets; the fold walks them and the lines side by side.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops["_drop"])
+    kept = F.when(F.size(stay) > 0, F.array_join(_at(lines, stay), "\n")).otherwise("")
+    new = F.when(drops["_drop"].isNull(), docs[text]).otherwise(kept).alias(text)
+    made = ("lines_before", "lines_dropped")
     return joined.select(
-        *[new[c].alias(c) if c == text else docs[c] for c in docs.columns],
-        F.when(docs[text].isNull(), 0).otherwise(F.size(lines)).alias("lines_before"), F.size(gone).alias("lines_dropped"),
+        *[new if c == text else docs[c] for c in docs.columns if c not in made],
+        F.when(docs[text].isNull(), 0).otherwise(F.size(lines)).alias("lines_before"), F.coalesce(F.size(drops["_drop"]), F.lit(0)).alias("lines_dropped"),
     )

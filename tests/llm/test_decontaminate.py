@@ -70,3 +70,9 @@ def test_empty_tables(spark, hard_docs, no_docs, items):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(hard_docs, none).filter("n_hit > 0 or contaminated").count() == 0
     assert decontaminate.contamination(no_docs, spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_columns_of_the_caller_pass_through(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y"), (2, "d e f", "x", "y")], "doc_id long, text string, _row_key string, bad_key string")
+    items = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.without_contaminated(docs, items).collect()] == [(2, "d e f", "x", "y")]

@@ -30,3 +30,16 @@ def test_lines_that_repeat_alone_and_first_copies_stay(spark):
     docs |= {20: "\n".join([own[8]] * 30), 21: f"{a}\n\n{x}\n\n{c}", 22: f"{own[9]}\n{a}\n\n{x}\n\n{c}"}
     got = cleaned(spark, docs)
     assert got == docs | {12: f"{own[6]}\n{own[7]}", 20: "\n".join([own[8]] * 6), 22: own[9]}
+
+
+def test_many_lines_gone_and_columns_of_the_same_names(spark):
+    from pyspark.sql import functions as F
+
+    passage = "\n".join(f"line {k} of the long one" for k in range(30_000))
+    docs = spark.createDataFrame([(1, passage), (2, f"own\n{passage}\nlast")], "doc_id long, text string")
+    clashing = {c: F.lit("caller's") for c in ("lines_before", "lines_dropped", "_drop", "_drop_id", "items", "places")}
+    out = lines.without_repeats(docs.withColumns(clashing))
+    assert out.columns == ["doc_id", "text", "_drop", "_drop_id", "items", "places", "lines_before", "lines_dropped"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].text == passage and got[1].lines_dropped == 0
+    assert got[2].text == "own\nlast" and (got[2].lines_before, got[2].lines_dropped) == (30_002, 30_000) and got[2]["_drop"] == "caller's"
