@@ -1,19 +1,16 @@
 """Text search over a ledger by stored trigrams.
 
-Different texts (merchant and description) are few beside the rows. They are stored once with a number, each of their
-trigrams is posted with that number, and the rows are stored in folders by the number. A search reads the folders of its
-own trigrams, keeps texts that have them all, verifies those, and reads only the folders of rows they lie in.
+Different texts (merchant and description) are few beside the rows. They are stored once for all ledgers with a number, each
+of their trigrams is posted with that number, and the rows are stored in folders by the number. A search reads the folders of
+its own trigrams, keeps texts that have them all, verifies those, and reads only the folders of rows they lie in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .containment import pieces
-from .scan import KEYS
 
 GRAM = 3
 #: Folders of postings and of rows.
@@ -32,12 +29,15 @@ def _folder(value: Column, folders: int) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(folders)).cast("int")
 
 
-def build(ledger: DataFrame, path: str, keys: Sequence[str] = KEYS) -> None:
-    """Writes texts, postings and rows under `path`; columns keep their names, text_no and row_folder are added."""
-    number = F.xxhash64(*keys, _folded("merchant"), _folded("description"))
+def build(ledger: DataFrame, path: str) -> None:
+    """Writes rows, texts and postings under `path`; columns keep their names, text_no and row_folder are added.
+
+    Each task writes its rows into the folders of their texts, so rows are not shuffled, however many share a text."""
+    number = F.xxhash64(_folded("merchant"), _folded("description"))
     rows = ledger.withColumn("text_no", number).withColumn("row_folder", _folder(F.col("text_no"), ROW_FOLDERS))
-    rows.repartition("row_folder", F.pmod(F.xxhash64("fingerprint"), F.lit(8))).write.mode("overwrite").partitionBy("row_folder").parquet(f"{path}/rows")
-    texts = rows.select(*keys, "text_no", _folded("merchant").alias("merchant"), _folded("description").alias("description")).distinct()
+    rows.write.mode("overwrite").partitionBy("row_folder").parquet(f"{path}/rows")
+    stored = ledger.sparkSession.read.parquet(f"{path}/rows")
+    texts = stored.select("text_no", _folded("merchant").alias("merchant"), _folded("description").alias("description")).distinct()
     texts.write.mode("overwrite").parquet(f"{path}/texts")
     grams = F.array_distinct(F.concat(_grams(F.col("merchant")), _grams(F.col("description"))))
     posted = ledger.sparkSession.read.parquet(f"{path}/texts").select("text_no", F.explode(grams).alias("gram"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from tallywork.operators import classify, containment, merge, pairing, refunds, scan
+from tallywork.operators import classify, containment, merge, pairing, refunds, scan, search_index
 from tallywork.plans import period_report as pr
 from tallywork.streaming import jobs
 
@@ -100,3 +100,12 @@ def test_a_streamed_batch_is_not_kept(spark, make_ledger, tmp_path, monkeypatch)
     monkeypatch.setattr(DataFrame, "persist", kept)
     jobs._merge_batch(str(tmp_path / "ledger"), ["owner_id"], "updated_at")(make_ledger(ROWS), 0)
     assert jobs.current_ledger(spark, str(tmp_path / "ledger")).count() == len(ROWS)
+
+
+def test_the_index_holds_a_text_once_for_all_ledgers(spark, make_ledger, tmp_path):
+    ledger, path = make_ledger([(*row, owner) for row in ROWS for owner in range(1, 6)]), str(tmp_path / "index")
+    search_index.build(ledger, path)
+    assert spark.read.parquet(f"{path}/texts").count() == len({row[3] for row in ROWS})
+    assert spark.read.parquet(f"{path}/rows").count() == ledger.count()
+    found = search_index.rows_holding(spark, path, "netflix").select("owner_id", "amount_cents").collect()
+    assert sorted(map(tuple, found)) == [(owner, -700) for owner in range(1, 6)]
