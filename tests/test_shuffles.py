@@ -1,11 +1,15 @@
 """What large ledgers must not do: broadcast what only looks small, cut few texts into pieces, judge a text once a group."""
 
 import datetime as dt
+import time
+import types
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
+from tallywork import session
+from tallywork.catalog import reports
 from tallywork.operators import classify, containment, merge, pairing, refunds, scan, search_index
 from tallywork.plans import period_report as pr
 from tallywork.streaming import jobs
@@ -109,3 +113,29 @@ def test_the_index_holds_a_text_once_for_all_ledgers(spark, make_ledger, tmp_pat
     assert spark.read.parquet(f"{path}/rows").count() == ledger.count()
     found = search_index.rows_holding(spark, path, "netflix").select("owner_id", "amount_cents").collect()
     assert sorted(map(tuple, found)) == [(owner, -700) for owner in range(1, 6)]
+
+
+def shuffle_files(spark) -> int:
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(1 for k in range(found.size()) if found.apply(k).getName().endswith(".data"))
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    before, set_to = shuffle_files(spark), spark.conf.get(session.FREE_SHUFFLES, None)
+    stored = session.store(spark.range(1000).repartition(3, "id"))
+    until = time.monotonic() + 20
+    while shuffle_files(spark) > before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before
+    assert stored.count() == 1000 and spark.conf.get(session.FREE_SHUFFLES, None) == set_to
+
+
+def test_full_reports_read_stored_pairs_and_refunds(spark, make_ledger, accounts, monkeypatch):
+    seen = []
+    monkeypatch.setattr(reports, "store", lambda df: seen.append(df.columns) or session.store(df))
+    none = spark.createDataFrame([], "owner_id long, fingerprint string, merchant_pattern string, target_type string, rule_order int, rule_type string")
+    x = types.SimpleNamespace(stored=session.store(make_ledger(ROWS)), accounts=accounts, rules=lambda *_: none)
+    x.stored_patterns = spark.createDataFrame([], "owner_id long, merchant_norm string, is_transfer boolean, is_recurring boolean, is_habitual boolean, cadence string")
+    rows = reports.full_rows(x).collect()
+    assert ["out_fingerprint" in c for c in seen] == [True, False] and "refund_fingerprint" in seen[1]
+    assert len(rows) == len(ROWS) and sorted(r.fingerprint for r in rows if r.is_paired) == ["f00000", "f00001"]
