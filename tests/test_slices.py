@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 from tallywork import session
 from tallywork.catalog import CATALOG
-from tallywork.sources import driver_ledger
+from tallywork.operators import merge
+from tallywork.sources import bank_files, driver_ledger
 
 FULL = ["full_period_report", "fully_classified_rows", "resolution_tasks", "drill_down_scopes", "full_month_summary", "full_month_verdicts",
         "full_integrity_scores", "full_resolution_tasks"]
 FILTERED = ["account_filtered_report", "account_filtered_transfers", "classified_with_overrides"]
 MATCHED = ["unmatched_transfer_legs", "refund_matches", "refund_table", "unmatched_refunds", "category_net_of_refunds"]
 FILES = ["bank_files_read_back", "bank_file_preview", "bank_file_counts", "streamed_ledger", "incremental_month_close", "incremental_snapshot_ids",
-         "incremental_period_totals"]
+         "incremental_period_totals", "bank_import_counts"]
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +52,7 @@ def test_parts_hold_every_ledger_row_once(spark, tables, monkeypatch):
     assert rows_of(parts[0].unionAll(parts[1])) == whole
 
 
-@pytest.mark.parametrize("name", [FULL[1], FILTERED[0], MATCHED[4], FILES[0], FILES[3]])
+@pytest.mark.parametrize("name", [FULL[1], FILTERED[0], MATCHED[4], FILES[0], FILES[3], FILES[7]])
 def test_slices_give_the_rows_of_one_run(spark, tables, monkeypatch, name):
     once = rows_of(CATALOG[name].run(spark, tables))
     in_three(monkeypatch, spark, tables)
@@ -82,3 +83,20 @@ def test_stored_digests_take_half_their_length(spark, tmp_path):
     digests = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("fingerprint")).coalesce(1)
     session.write(digests, str(tmp_path / "t"))
     assert sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet")) < 20_000 * 20
+
+
+def test_bank_rows_are_read_once(spark):
+    rows = spark.createDataFrame([(1, "a", "2024-01-02", "$1.50", "shop", None), (2, "a", "soon", "2", "shop", None), (3, "a", "1/2/2024", "n/a", "shop", None)],
+                                 "owner_id long, account_id string, date_text string, amount_text string, description string, merchant string")
+    good = bank_files.accepted(bank_files.parse_bank_rows(rows))
+    assert [(r.owner_id, str(r.posted_at), r.amount_cents) for r in good.collect()] == [(1, "2024-01-02", 150)]
+    text = good.select("owner_id", "fingerprint")._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert text.count("REGEXP_REPLACE") == 4 and text.count("RLIKE") == 6  # as often as the reading itself names them
+
+
+def test_a_null_key_or_print_is_never_known(spark):
+    batch = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, None), (None, "a"), (2, "a")], "owner_id long, fingerprint string")
+    ledger = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (None, "a"), (3, "a")], "owner_id long, fingerprint string")
+    counts = merge.import_counts(batch, ledger, ["owner_id"])
+    assert sorted(counts.collect(), key=str) == sorted([(1, 2, 2), (None, 1, 0), (2, 1, 0)], key=str)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Join") == 0
